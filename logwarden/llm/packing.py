@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -29,15 +30,15 @@ CAPACITY, GROUPS, SMALL_PART = 2048, 512, 8
 #: Texts of words of these are split as the tokenizer splits them; others go through it whole.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 _LATIN = re.compile(r"[a-zß-öø-ÿA-ZÀ-ÖØ-Þ.,;:!?|()\-#$%&*\"@+=/_]+\Z")
-CACHED = 400_000
+CACHED = 700_000
 
 
 class WordIds(dict):
     """Token ids (little-endian 32 bits) of what stands between spaces, made once a word.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are its words' ids.
-    Words of Latin letters and plain marks are cut into runs here and given to the model; any other
-    word goes through the whole tokenizer.
+    Words of Latin letters and plain marks are cut into runs here, a run being one pre-token that
+    the model encodes by itself; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,29 +47,25 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.runs: dict[str, bytes] = {}
-        marks = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        marks = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = (256 + k for k in range(256))
-        self.letters = {b: chr(b) if b in set(marks) else chr(next(spare)) for b in range(256)}
+        self.letters = {b: chr(b) if b in marks else chr(next(spare)) for b in range(256)}
 
     def run(self, text: str) -> bytes:
-        """Ids of a run of letters, or of one of marks; both are one pre-token."""
-        out = self.runs.get(text)
+        out = self.get(text)
         if out is None:
-            if len(self.runs) >= CACHED:
-                self.runs.clear()
-            shown = text.encode().decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.runs[text] = out
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            out = self[text] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return out
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        if _LATIN.match(word):
-            out = b"".join(map(self.run, _PLAIN.findall(word.lower())))
+        if not _LATIN.match(word):
+            out = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            runs = _PLAIN.findall(word.lower())
+            out = self.run(runs[0]) if len(runs) == 1 else b"".join(map(self.run, runs))
         self[word] = out
         return out
 
