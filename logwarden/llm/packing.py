@@ -278,7 +278,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
 def _spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a sorted array, and where each starts and ends."""
     found, start = np.unique(keys, return_index=True)
-    return found, start, np.append(start[1:], len(keys))
+    return found, start, np.append(start, len(keys))[1:]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
