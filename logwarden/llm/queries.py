@@ -71,6 +71,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _FOLDED = f"translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
 
+#: Bytes of the fixed parts of a record: the HTTP head of its block, and the WARC head.
+_HTTP = len("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
+_HEAD = len("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:>\r\nWARC-Target-URI: \r\nContent-Length: \r\n\r\n")
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_FOLDED} AS t FROM documents),
@@ -78,4 +82,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op5_warc_fixity": f"""
+        WITH b AS (SELECT page_id, page_id // 256 AS file_id, coalesce(strlen(url), 0) AS url_bytes, coalesce(strlen(html), 0) + {_HTTP} AS block FROM pages),
+             r AS (SELECT *, {_HEAD} + strlen(CAST(page_id AS VARCHAR)) + url_bytes + strlen(CAST(block AS VARCHAR)) + block + 4 AS length FROM b),
+             o AS (SELECT *, row_number() OVER w - 1 AS record_no, sum(length) OVER w - length AS "offset",
+                     file_id % 7 = 3 AND page_id % 256 >= 250 AS lost, page_id % 97 = 5 AS hit FROM r WINDOW w AS (PARTITION BY file_id ORDER BY page_id))
+        SELECT file_id, record_no, CASE WHEN lost THEN 'missing' ELSE 'altered' END AS fault, "offset", length,
+               CASE WHEN NOT lost THEN "offset" END AS replica_offset, CASE WHEN NOT lost THEN length END AS replica_length
+        FROM o WHERE lost OR hit
+    """,
 }
