@@ -1,13 +1,7 @@
-"""Shared helpers of the training-data operators.
-
-Intermediate tables are Parquet in the folder that ``spark.checkpoint.dir`` names, which every
-executor can reach; a temporary folder is used only where that setting is absent (local tests).
-"""
+"""Shared helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logwarden.sources.scratch import materialise, scratch_dir
+
+__all__ = ["leading_bits", "lower_ascii", "materialise", "null_safe", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits"]
 #: What separates words, as a Java regular expression of the words themselves.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,22 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT_ROWS = 20_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a new temporary one where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
