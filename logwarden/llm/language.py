@@ -114,8 +114,11 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     bitmap of FEATURES bits a sampled document.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_language)
+    # in two steps, so that what meets in a language's one task does not grow with the number of splits
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = labelled.select("doc_id", "lang").withColumn("__b", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64)))
+    for keys in (["lang", "__b"], ["lang"]):
+        ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash))).filter(F.col("__n") <= per_language).drop("__n")
     wanted = [r[0] for r in ids.select("doc_id").collect()]
     sample = labelled.filter(F.col("doc_id").isin(wanted))
 
