@@ -179,8 +179,9 @@ class Node:
 
 
 def planes_of(tokens: np.ndarray) -> np.ndarray:
-    """Bit m of place p is set if over m of the set's tokens fall there; kept as the number of such bits."""
-    return np.minimum(np.bincount((tokens.view(_U) >> _U(20)).astype(np.int64) % PLANE, minlength=PLANE), 255).astype(np.uint8)
+    """Bit m of place p is set if over m of the set's tokens fall there; kept as the number of such bits, in the least type that holds all."""
+    counts = np.bincount((tokens.view(_U) >> _U(20)).astype(np.int64) % PLANE, minlength=PLANE)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
 
 
 def build_tree(sets: list[np.ndarray], members: np.ndarray, planes: np.ndarray) -> Node:
@@ -219,9 +220,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 
 def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links that join what sets of ``left`` (with ``right``, or among themselves) link, as a forest."""
-    planes = np.zeros((len(sets), PLANE), np.uint8)
-    for n in left if right is None else np.concatenate([left, right]):
-        planes[n] = planes_of(sets[n])
+    own = {int(n): planes_of(sets[n]) for n in (left if right is None else np.concatenate([left, right]))}
+    planes = np.zeros((len(sets), PLANE), np.result_type(np.uint8, *{p.dtype for p in own.values()}))
+    for n, p in own.items():
+        planes[n] = p
     sizes = np.array([len(s) for s in sets])
     parent = np.arange(len(sets))
 

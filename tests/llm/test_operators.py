@@ -503,3 +503,14 @@ def test_signature_tree_finds_all_links():
     want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
     assert want and (label == embedding_dedup.roots_of(len(sets), *(np.array([p[k] for p in want], int) for k in (0, 1)))).all()
     assert math.isfinite(len(links))
+
+
+def test_signature_tree_bounds_very_large_sets():
+    rng = np.random.default_rng(17)
+    both, a, b = np.split(np.unique(rng.integers(-(1 << 62), 1 << 62, 354_000))[: 353_000], [317_000, 335_000])
+    sets = [np.sort(np.concatenate([both, x])) for x in (a, b)]
+    overlap = len(np.intersect1d(*sets))
+    assert min(map(len, sets)) > 300_000 and overlap / len(np.union1d(*sets)) == pytest.approx(0.9, abs=0.01)
+    assert jaccard_join.overlap_bound(*map(jaccard_join.planes_of, sets)) >= overlap
+    assert len(jaccard_join.tree_links(sets, np.arange(2), None, 80)) == 1
+    assert len(jaccard_join.tree_links(sets, np.array([0]), np.array([1]), 80)) == 1
