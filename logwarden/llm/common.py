@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from logwarden.sources.scratch import materialise, scratch_dir
 
-__all__ = ["leading_bits", "lower_ascii", "materialise", "null_safe", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits"]
+__all__ = ["ROW", "keep_rows", "leading_bits", "lower_ascii", "materialise", "null_safe", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits", "with_rows"]
 #: What separates words, as a Java regular expression of the words themselves.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one task numbers or sums in order; more rows make more units.
 UNIT_ROWS = 20_000
+#: A row's key, where rows and not ids are decided on.
+ROW = "__row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,22 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written down so that every reading sees the same keys."""
+    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def keep_rows(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
+    """Of the rows of each group the one of least ``best``, whatever ids rows share; the keys go.
+
+    rows: with_rows(); groups: (ROW, group), one row each. Only keys and ids meet in groups.
+    """
+    known = materialise(groups.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "group", "doc_id"), "row-groups")
+    stays = known.groupBy("group").agg(F.min(F.struct(best, F.col(ROW)))[ROW].alias(ROW))
+    gone = known.select(ROW).join(stays, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
+
 def unit_bits(rows: int) -> int:
     """So many leading bits of a 64-bit hash cut that many rows into units of UNIT_ROWS or fewer."""
     return max(0, int(np.ceil(np.log2(max(1, rows) / UNIT_ROWS))))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import lower_ascii, materialise, null_safe, text_blocks
+from logwarden.llm.common import ROW, keep_rows, lower_ascii, materialise, text_blocks, with_rows
 
 LEAST, MEAN_BITS, MOST = 1024, 12, 65536
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -136,6 +136,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. The ids that go, far fewer, are what moves."""
-    gone = exact_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return null_safe(docs, gone, ["doc_id"], "left_anti")
+    """Of the rows of equal texts the one with the largest doc_id, with all its columns.
+
+    One row stays of each text: rows that repeat a doc_id count singly, and a row with a null doc_id
+    stays only where the text has no other. Keys of the rows that go, far fewer, are what moves.
+    """
+    rows = with_rows(docs)
+    groups = exact_dedup(rows.select(F.col(ROW).alias("doc_id"), "text")).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return keep_rows(rows, groups, F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id")))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import null_safe, text_blocks
+from logwarden.llm.common import text_blocks
 
 UNKNOWN = "und"
 #: Presence features; the longest n-gram; bytes of a window; labelled texts a language; landmarks.
@@ -144,28 +144,35 @@ def _presence_of(raw: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return presence(raw[start:end], [(a - start, b - start) for a, b in spans])
 
 
+def _classify(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, places in the model's languages (their number for ``und``) and scores, for runs of a batch's rows."""
+    texts = batch.column(batch.schema.get_field_index("text"))
+    letters = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
+        n = len(offsets) - 1
+        spans, owner = windows_of(offsets)
+        best, score = np.full(n, len(model.languages)), np.zeros(n)
+        if len(spans) and model.languages:
+            p = np.concatenate([model.scores(_presence_of(raw, spans[k : k + 256])) for k in range(0, len(spans), 256)])
+            lengths = np.array([b - a for a, b in spans], float)
+            total = np.zeros((n, p.shape[1]))
+            np.add.at(total, owner, p * lengths[:, None])
+            total /= np.maximum(np.diff(offsets)[:, None], 1)
+            ok = letters[first : first + n]
+            best = np.where(ok, total.argmax(axis=1), best)
+            score = np.where(ok, np.clip(total.max(axis=1), 0, 1), 0.0)
+        yield first, best, score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs``, whole texts; ``und`` and 0 without letters."""
     languages = [*model.languages, UNKNOWN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = pc.fill_null(pc.match_substring_regex(batch.column(1).cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
-                n = len(offsets) - 1
-                spans, owner = windows_of(offsets)
-                best, score = np.full(n, len(languages) - 1), np.zeros(n)
-                if len(spans) and model.languages:
-                    p = np.concatenate([model.scores(_presence_of(raw, spans[k : k + 256])) for k in range(0, len(spans), 256)])
-                    lengths = np.array([b - a for a, b in spans], float)
-                    total = np.zeros((n, p.shape[1]))
-                    np.add.at(total, owner, p * lengths[:, None])
-                    total /= np.maximum(np.diff(offsets)[:, None], 1)
-                    ok = letters[first : first + n]
-                    best = np.where(ok, total.argmax(axis=1), best)
-                    score = np.where(ok, np.clip(total.max(axis=1), 0, 1), 0.0)
+            for first, best, score in _classify(batch, model):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([languages[k] for k in best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
+                    [batch.column(0).slice(first, len(best)), pa.array([languages[k] for k in best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -184,7 +191,15 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.0, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The documents with a language: those without letters go, and those scored below ``least_score``."""
+    """The documents with a language: those without letters go, and those scored below ``least_score``.
+
+    Each row is decided on by its own text where it is read, whatever ids rows share.
+    """
     model = learn(docs, per_language)
-    gone = predict(docs, model).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score)).select("doc_id").distinct()
-    return null_safe(docs, gone, ["doc_id"], "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, best, score in _classify(batch, model):
+                yield batch.slice(first, len(best)).filter(pa.array((best < len(model.languages)) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,10 +7,10 @@ search over capacities, each checked by filling shards greedily along the runnin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import leading_bits, materialise, running_sums, unit_bits
+from logwarden.llm.common import ROW, UNIT_ROWS, leading_bits, materialise, null_safe, running_sums, unit_bits, with_rows
 
 #: Capacities checked side by side in each round of the search.
 PROBES = 15
@@ -53,6 +53,15 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     return high, best[:-1]
 
 
+def _measures() -> list[Column]:
+    """A row's size, checksum and hash, which equal texts share."""
+    return [
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("group"),
+    ]
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -64,15 +73,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     Repeated rows get slots of their own. Some shards stay empty where there are fewer groups; an
     empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    rows = materialise(
-        docs.select(
-            "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-            F.xxhash64("text").alias("group"),
-        ),
-        "shard-rows",
-    )
+    rows = materialise(docs.select("doc_id", *_measures()), "shard-rows")
     n = rows.count()
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"))
     groups = running_sums(groups, [], leading_bits(F.col("group"), unit_bits(n)), [F.col("group")], {"start": F.col("size")})
@@ -92,6 +93,18 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents as one folder a shard, each in the order of its slots."""
-    where = placed.select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    docs.join(where, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write every row of the documents as one folder a shard, each in the order of its slots.
+
+    placed: shard() of the same documents. Rows meet places by doc_id (null too), size and checksum;
+    where several share these, the one takes the n-th place in the order of the text's hash, in
+    which shards are cut.
+    """
+    rows = with_rows(docs)
+    keys = ["doc_id", "size", "text_crc32"]
+    own = materialise(rows.select(ROW, "doc_id", *_measures()), "shard-keys")
+    bits = unit_bits(own.count())
+    places = materialise(placed.select(*keys, "shard", "slot"), "shard-places")
+    own = running_sums(own, keys, F.struct("group", leading_bits(F.xxhash64(ROW), bits).alias("part")), [F.col(ROW)], {"__nth": F.lit(1)})
+    places = running_sums(places, keys, F.struct("shard", F.floor(F.col("slot") / UNIT_ROWS).alias("part")), [F.col("slot")], {"__nth": F.lit(1)})
+    where = null_safe(own, places, [*keys, "__nth"]).select(ROW, "shard", "slot")
+    rows.join(where, ROW).drop(ROW).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.llm import components, embedding_dedup, exact_dedup, fixity, jaccard_join, language, mixing, packing, pii, sharding, token_counts
+from logwarden.llm.common import materialise
 from logwarden.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,6 +146,14 @@ def test_exact_dedup(spark):
     assert kept.count() == len(groups)
 
 
+def test_drop_copies_decides_by_row(spark):
+    rows = [(None, "Twice", "a"), (7, "twice", "b"), (None, "null only", "c"), (None, "null only", "d"), (None, "single", "e"), (5, "one", "f"), (5, "one", "g"), (5, "other", "h"), (7, "ONE", "i")]
+    got = exact_dedup.drop_copies(docs(spark, rows, extra=False))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    found = collections.Counter((r["doc_id"], r["text"].lower()) for r in got.collect())
+    assert found == collections.Counter([(7, "twice"), (None, "null only"), (None, "single"), (5, "other"), (7, "one")])
+
+
 def test_chunks_round_trip_and_follow_content():
     rng = np.random.default_rng(0)
     body = rng.integers(97, 123, 60_000).astype(np.uint8)
@@ -240,6 +249,18 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == frame.count()
 
 
+def test_write_shards_writes_every_row(spark, tmp_path):
+    rows = [(None, "x", "a"), (None, "y", "b"), (None, "x", "c"), (4, "p", "d"), (4, "longer", "e"), (4, "p", "f"), (6, None, "g"), (6, "", "h")]
+    frame = docs(spark, rows, extra=False)
+    placed = materialise(sharding.shard(frame), "placed")
+    sharding.write_shards(frame, placed, f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in got))) == sorted(map(str, rows))
+    key = lambda r: (r["shard"], r["slot"])
+    assert sorted(map(key, got)) == sorted(map(key, placed.collect()))
+    assert all(len({r["shard"] for r in got if r["text"] == t}) == 1 for t in ("x", "p"))
+
+
 # --- 5 fixity ------------------------------------------------------------------------------------
 
 
@@ -434,6 +455,13 @@ def test_language(spark):
     assert kept.columns == frame.columns and {d for d, _, _ in rows} - {r["doc_id"] for r in kept.collect()} == {900, 901, 902}
 
 
+def test_keep_identified_decides_by_row(spark):
+    odd = [(None, "123", "aa"), (None, "und nicht der", "bb"), (900, "...", "aa"), (900, "the and there", "aa")]
+    frame = spark.createDataFrame(language_rows(60) + odd, "doc_id long, text string, lang string")
+    kept = language.keep_identified(frame).collect()
+    assert len(kept) == 62 and {(None, "und nicht der"), (900, "the and there")} <= {(r["doc_id"], r["text"]) for r in kept}
+
+
 def test_language_without_labels(spark):
     frame = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in language.identify(frame).collect()] == [("und", 0.0)]
