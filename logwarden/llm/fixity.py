@@ -4,7 +4,8 @@ Pages become WARC response records in files, ordered by page; a record has an of
 Every file of a replica is a tree: the leaves are digests of records, a node is the digest of up to
 ``fanout`` ordered ranges below it, the root stands for the file. Two replicas are compared root by
 root; only below roots, and then nodes, that differ are their children compared, down to the
-records. All of it is DataFrame expressions, a group-by a level over at most ``fanout`` children.
+records. There, records are matched by what they hold and then by their id, so a record lost or
+inserted inside a file is told from those that it shifts. All of it is DataFrame expressions, a group-by a level over at most ``fanout`` children.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def warc_records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0: a digest of each record with its place, so a moved record differs too."""
-    return records.select("file_id", F.lit(0).alias("level"), F.col("record_no").alias("node"), "offset", "length", F.sha2("payload", 256).alias("digest"))
+    """Level 0: a digest of each record with its place, so a moved record differs too; and its id, if it has any."""
+    own = F.col("page_id") if "page_id" in records.columns else F.lit(None).cast("long")
+    return records.select("file_id", F.lit(0).alias("level"), F.col("record_no").alias("node"), "offset", "length", F.sha2("payload", 256).alias("digest"), own.alias("page_id"))
 
 
 def merkle_tree(level0: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -65,12 +67,23 @@ def merkle_tree(level0: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     return levels
 
 
+def paired(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, a, b: the n-th records of both replicas that share the keys, nulls too; a or b is null without a partner."""
+    nth = F.row_number().over(Window.partitionBy("side", *keys).orderBy("node"))
+    record = F.struct("node", "offset", "length", "digest", "page_id")
+    of = lambda s: F.max(F.when(F.col("side") == s, record)).alias(s)
+    return sides.withColumn("nth", nth).groupBy(*keys, "nth").agg(of("a"), of("b"))
+
+
 def audit(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """file_id, record_no, fault, offset, length, replica_offset, replica_length of records that differ.
 
-    Faults: ``missing`` and ``surplus`` (no record of that number in the replica, or in the first),
-    ``altered`` (another digest), ``moved`` (the same record at another offset). The trees' levels
-    come from merkle_tree(); the descent starts at the higher root and follows mismatches alone.
+    Faults: ``moved`` (the same record, by id and digest, at another place of the file), ``altered``
+    (another digest under the same id), ``missing`` and ``surplus`` (no such record in the replica,
+    or in the first). A record without an id goes by its number once its digest finds no match.
+    record_no is the first's, for surplus records the replica's. A record that went to another file
+    is missing in one and surplus in the other. The trees' levels come from merkle_tree(); the
+    descent starts at the higher root and follows mismatches alone.
     """
     open_nodes = None
     for level in reversed(range(max(len(a), len(b)))):
@@ -78,19 +91,30 @@ def audit(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataF
         y = b[level] if level < len(b) else b[0].limit(0)
         if open_nodes is not None:
             x, y = (f.join(open_nodes, (f["file_id"] == open_nodes["up_file"]) & (F.floor(f["node"] / fanout).cast("long") == open_nodes["up"]), "left_semi") for f in (x, y))
+        if not level:
+            break
         name = lambda f, s: f.select("file_id", "node", *[F.col(c).alias(f"{s}_{c}") for c in ("offset", "length", "digest")])
         met = name(x, "a").join(name(y, "b"), ["file_id", "node"], "full")
         differs = met.filter(~(F.col("a_digest").eqNullSafe(F.col("b_digest")) & F.col("a_offset").eqNullSafe(F.col("b_offset")) & F.col("a_length").eqNullSafe(F.col("b_length"))))
-        if level:
-            open_nodes = materialise(differs.select(F.col("file_id").alias("up_file"), F.col("node").alias("up")).distinct(), "mismatches")
-    fault = F.when(F.col("b_digest").isNull(), "missing").when(F.col("a_digest").isNull(), "surplus").when(F.col("a_digest") != F.col("b_digest"), "altered").otherwise("moved")
-    return differs.select(
-        "file_id", F.col("node").alias("record_no"), fault.alias("fault"), F.col("a_offset").alias("offset"), F.col("a_length").alias("length"), F.col("b_offset").alias("replica_offset"), F.col("b_length").alias("replica_length")
+        open_nodes = materialise(differs.select(F.col("file_id").alias("up_file"), F.col("node").alias("up")).distinct(), "mismatches")
+    fields = ["node", "offset", "length", "digest", "page_id"]
+    sides = x.select(F.lit("a").alias("side"), "file_id", *fields).unionByName(y.select(F.lit("b").alias("side"), "file_id", *fields))
+    # what is at its place in both goes first
+    place = ["file_id", "node", "offset", "length", "digest"]
+    apart = paired(sides, place).filter(F.col("a").isNull() | F.col("b").isNull())
+    split = lambda f: f.select("file_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("r")), F.struct(F.lit("b").alias("side"), F.col("b").alias("r")))).alias("s")).filter("s.r is not null").select("s.side", "file_id", "s.r.*")
+    same = materialise(paired(split(apart), ["file_id", "page_id", "digest"]).select("file_id", "a", "b"), "record-pairs")
+    moved = same.filter("a is not null and b is not null").withColumn("fault", F.lit("moved"))
+    rest = split(same.filter("a is null or b is null")).withColumn("number", F.when(F.col("page_id").isNull(), F.col("node")))
+    fault = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "surplus").otherwise("altered")
+    found = moved.unionByName(paired(rest, ["file_id", "page_id", "number"]).select("file_id", "a", "b", fault.alias("fault")))
+    return found.select(
+        "file_id", F.coalesce("a.node", "b.node").alias("record_no"), "fault", F.col("a.offset").alias("offset"), F.col("a.length").alias("length"), F.col("b.offset").alias("replica_offset"), F.col("b.length").alias("replica_length")
     )
 
 
 def fixity_audit(first: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Compare two tables of records (file_id, record_no, offset, length, payload).
+    """Compare two tables of records (file_id, record_no, offset, length, payload; page_id where records have ids).
 
     One row per record that differs; none where replicas agree or both are empty. A null payload is
     a record without a digest and differs from any that has one.

@@ -279,6 +279,37 @@ def test_fixity(spark):
     assert {r["fault"] for r in fixity.fixity_audit(none, first).collect()} == {"surplus"}
 
 
+def test_fixity_inside_files(spark):
+    rows = [(k, f"http://h/{k}", "<p>" + "x" * (k % 50)) for k in range(700)]
+    rows += [(40, "http://h/40", "<p>repeated")] * 3 + [(None, "a", "b"), (None, "c", "d")]
+    lost, new, longer, hit = {10, 300}, [(100, "http://h/100", "inserted"), (800, "u", "v")], {400}, {20, 350}
+    first = [r for r in rows if r[0] != 120]
+    change = lambda r: (r[0], r[1], r[2] + "longer" if r[0] in longer else "#" + r[2][1:] if r[0] in hit else r[2])
+    other = [change(r) for r in rows if r[0] not in lost] + new
+    other.remove((40, "http://h/40", "<p>repeated"))
+    table = lambda x: fixity.warc_records(spark.createDataFrame(x, "page_id long, url string, html string"))
+    one, two = ([r.asDict() for r in table(x).collect()] for x in (first, other))
+    # brute force: equal bytes first, then equal ids, each in order
+    want, left = [], []
+    for r in one:
+        if twin := next((s for s in two if all(s[c] == r[c] for c in ("file_id", "record_no", "offset", "payload"))), None):
+            two.remove(twin)
+        else:
+            left.append(r)
+    for fault, columns in (("moved", ("file_id", "page_id", "payload")), ("altered", ("file_id", "page_id"))):
+        for r in list(left):
+            if twin := next((s for s in two if all(s[c] == r[c] for c in columns)), None):
+                left.remove(r)
+                two.remove(twin)
+                want.append((r["file_id"], r["record_no"], fault, r["offset"], r["length"], twin["offset"], twin["length"]))
+    want += [(r["file_id"], r["record_no"], "missing", r["offset"], r["length"], None, None) for r in left]
+    want += [(r["file_id"], r["record_no"], "surplus", None, None, r["offset"], r["length"]) for r in two]
+    got = [tuple(r) for r in fixity.fixity_audit(table(first), table(other)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    faults = collections.Counter(r[2] for r in got)
+    assert (faults["missing"], faults["surplus"], faults["altered"]) == (3, 3, 3) and faults["moved"] > 400
+
+
 # --- 6 pseudonyms --------------------------------------------------------------------------------
 
 KEY = b"test key"
