@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -46,13 +47,14 @@ def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
             return value
 
 
-def _class(c: str) -> str:
-    return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Classes of characters that are permuted among themselves: of names, and of hexadecimal numbers.
+LATIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+HEXADECIMAL = ("0123456789", "abcdef", "ABCDEF")
 
 
-def permute_characters(text: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """Permute ASCII letters and digits, each within its class and place; other characters stay."""
-    classes = [_class(c) if c.isascii() and c.isalnum() else c for c in text]
+def permute_characters(text: str, key: bytes, tweak: str, back: bool = False, alphabet: tuple[str, ...] = LATIN) -> str:
+    """Permute the alphabet's characters, each within its class and place; other characters stay."""
+    classes = [next((own for own in alphabet if c in own), c) for c in text]
     size, value = 1, 0
     for c, own in zip(text, classes, strict=True):
         size, value = size * len(own), value * len(own) + own.index(c)
@@ -75,18 +77,27 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+#: The first four digits of card numbers, by issuer, and how many digits follow in all.
+ISSUERS = [(re.compile(pattern), lengths) for pattern, lengths in (
+    (r"4\d{3}", (13, 16, 19)), (r"5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720", (16,)), (r"3[47]\d\d", (15,)), (r"30[0-5]\d|3[689]\d\d", range(14, 20)),
+    (r"352[89]|35[3-8]\d", range(16, 20)), (r"6011|64[4-9]\d|65\d\d|62\d\d", range(16, 20)), (r"5018|5020|5038|5893|6304|6759|676[1-3]", range(13, 20)),
+)]
+
+
 def card(text: str, key: bytes, back: bool = False) -> str | None:
+    """A number of an issuer with a right check digit; the issuer's four digits stay."""
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    known = any(pattern.match(digits) and len(digits) in lengths for pattern, lengths in ISSUERS)
+    if not known or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    payload = permute_characters(digits[:-1], key, "card", back)
+    payload = digits[:4] + permute_characters(digits[4:-1], key, f"card:{digits[:4]}", back)
     return refill(text, payload + luhn_digit(payload))
 
 
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
     """The last seven digits are permuted; country and area stay."""
     digits = re.sub(r"\D", "", text)
-    if not 10 <= len(digits) <= 15:
+    if not (9 if text[0] == "+" else 10) <= len(digits) <= 15:
         return None
     return refill(text, digits[:-7] + permute_characters(digits[-7:], key, f"phone:{digits[-10:-7]}", back))
 
@@ -112,19 +123,73 @@ def address(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 def date(text: str, key: bytes, back: bool = False) -> str | None:
+    """Year first, day first, or month first where the day is over 12.
+
+    Days up to 12 are permuted among themselves, and so are those over 12: a date that only reads
+    month first stays one, and a date becomes the same date in whatever order it is written.
+    """
     parts, sign = re.findall(r"\d+", text), re.search(r"\D", text).group()
     if len(parts[0]) == 4:
-        y, m, d = map(int, parts)
+        order, (y, m, d) = "ymd", map(int, parts)
+    elif int(parts[1]) > 12:
+        order, (m, d, y) = "mdy", map(int, parts)
     else:
-        d, m, y = map(int, parts)
+        order, (d, m, y) = "dmy", map(int, parts)
     try:
         day = dt.date(y, m, d).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
-    return f"{new:%Y}{sign}{new:%m}{sign}{new:%d}" if len(parts[0]) == 4 else f"{new:%d}{sign}{new:%m}{sign}{new:%Y}"
+    while True:
+        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back)
+        new = dt.date.fromordinal(day)
+        if (new.day > 12) == (d > 12):
+            break
+    shown = {"y": f"{new:%Y}", "m": f"{new:%m}", "d": f"{new:%d}"}
+    return sign.join(shown[c] for c in order)
+
+
+#: The length of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def iban_digits(country: str, rest: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def iban(text: str, key: bytes, back: bool = False) -> str | None:
+    """An account number of its country's length, which may be followed by another word."""
+    size, n = IBAN_LENGTHS.get(text[:2], 0), 0
+    for at, c in enumerate(text):
+        n += c != " "
+        if n == size:
+            break
+    else:
+        return None
+    own, tail = text[: at + 1], text[at + 1 :]
+    plain = own.replace(" ", "")
+    if tail[:1].isalnum() or plain[2:4] != iban_digits(plain[:2], plain[4:]):
+        return None
+    rest = permute_characters(plain[4:], key, f"iban:{plain[:2]}", back)
+    it = iter(plain[:2] + iban_digits(plain[:2], rest) + rest)
+    return "".join(c if c == " " else next(it) for c in own) + tail
+
+
+def ipv6(text: str, key: bytes, back: bool = False) -> str | None:
+    """Hexadecimal digits are permuted within the notation, so equal addresses link if they are written alike."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return permute_characters(text, key, "ipv6", back, HEXADECIMAL) if re.search("[1-9A-Fa-f]", text) and len(text) > 7 else None
 
 
 def email(text: str, key: bytes, back: bool = False) -> str | None:
@@ -133,22 +198,44 @@ def email(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 def token(text: str, key: bytes, back: bool = False) -> str | None:
-    return permute_characters(text, key, "token", back) if re.search(r"\d", text) and re.search(r"[A-Za-z]", text) else None
-
-
-#: Kinds in the order in which they are tried at a place.
-KINDS: list[tuple[str, str, Callable[..., str | None]]] = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", email),
-    ("token", r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])", token),
-    ("date", r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d\-/]|\.\d)", date),
-    ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", social),
-    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
-    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}(?:\1\d{4}){2}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", card),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|\+\d{10,15}(?!\d)", phone),
+    return permute_characters(text, key, "token", back, HEXADECIMAL) if re.search(r"\d", text) and re.search(r"[A-Za-z]", text) else None
+
+
+_NAME, _HOST = re.compile(r"[A-Za-z0-9._%+\-]*"), re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
+
+
+def find_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of addresses, found from their signs: the name is looked for backwards, as far as the sign before."""
+    before = 0
+    at = text.find("@")
+    while at >= 0:
+        host = _HOST.match(text, at + 1)
+        if host:
+            name = _NAME.match(text[before:at][::-1]).group()[::-1].lstrip("._%+-")
+            if name:
+                yield at - len(name), host.end()
+        before = host.end() if host else at + 1
+        at = text.find("@", at + 1)
+
+
+def _finder(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    compiled = re.compile(pattern)
+    return lambda text: (m.span() for m in compiled.finditer(text))
+
+
+#: Kinds in the order in which they are tried at a place. No pattern looks at a character more than some dozens of times.
+KINDS: list[tuple[str, Callable[[str], Iterator[tuple[int, int]]], Callable[..., str | None]]] = [
+    ("email", find_emails, email),
+    ("token", _finder(r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])"), token),
+    ("iban", _finder(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,34}(?![A-Za-z0-9])"), iban),
+    ("ipv6", _finder(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])"), ipv6),
+    ("date", _finder(r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d\-/]|\.\d)"), date),
+    ("social", _finder(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"), social),
+    ("ipv4", _finder(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), address),
+    ("card", _finder(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}(?:\1\d{4}){2}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"), card),
+    ("phone", _finder(r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+])\+\d{10,15}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-/]\d{2,8}){2,4}(?![ .\-/]?\d)"), phone),
 ]
 
-
-_AT = [(kind, re.compile(pattern), make) for kind, pattern, make in KINDS]
 _MAYBE = re.compile(r"\d")
 
 
@@ -157,16 +244,15 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     if not text or not _MAYBE.search(text) and "@" not in text:
         return text, []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-    for kind, pattern, make in _AT:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(x < b and a < y for x, y in taken):
+    taken = bytearray(len(text))
+    for kind, spans, make in KINDS:
+        for a, b in spans(text):
+            if taken.find(1, a, b) >= 0:
                 continue
-            new = _cached(make, m.group(), key, back)
+            new = _cached(make, text[a:b], key, back)
             if new is not None:
                 found.append((a, b, kind, new))
-                taken.append((a, b))
+                taken[a:b] = b"\1" * (b - a)
     found.sort()
     out, at = [], 0
     for a, b, _, new in found:
