@@ -2,8 +2,10 @@
 
 A text is a sequence of segments: white space with the word after it. No token of the byte-level
 pre-tokenizer crosses from a word into the white space after it, so counts of segments add up. Each
-document keeps a tree of sums over its segments; an edit re-encodes the segments that it touches
-and the ones next to it, and the sums on their paths to the root are updated.
+document keeps a tree: its segments' lengths and token counts, in leaves of a few dozen segments,
+and the sums of leaves above. Trees are rows of a table. An edit re-encodes the segments that it
+touches and the ones next to it, replaces them in their leaf, and updates the sums on the leaf's
+path to the root; what it makes is a tree again, so the next edits go on from there.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from logwarden.llm.common import materialise
 
 #: (start, end, new): the characters from start to end become new; edits do not overlap.
 Edit = tuple[int, int, str]
-FANOUT, CACHED = 16, 400_000
+LEAF, FANOUT, CACHED = 16, 16, 400_000
 #: The characters with the Unicode property White_Space.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _SEGMENT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
@@ -60,66 +65,102 @@ class SegmentCounts(dict):
 
 
 class CountTree:
-    """Sums of token counts over a text's segments; level 0 holds the segments' own."""
+    """A text's segments and the sums of their token counts; the bottom level of ``levels`` has the leaves."""
 
     def __init__(self, text: str, counts: SegmentCounts) -> None:
-        self.text, self.counts = text, counts
+        self.counts = counts
         segments = _SEGMENT.findall(text)
-        self.ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
-        levels = [np.fromiter(map(counts.__getitem__, segments), np.int64, len(segments))]
-        while len(levels[-1]) > 1:
-            levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FANOUT)))
-        self.levels = levels
+        self.text, (self.lengths, self.tokens) = text, self._encode(segments)
+        self._grow()
+
+    @classmethod
+    def stored(cls, text: str, counts: SegmentCounts, lengths: np.ndarray, tokens: np.ndarray, leaves: np.ndarray, sums: np.ndarray) -> CountTree:
+        """The tree that a row of count_trees() holds; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counts, tree.lengths, tree.tokens, tree.leaves = text, counts, lengths, tokens, leaves.copy()
+        tree.levels, at, n = [], 0, len(leaves)
+        while n:
+            tree.levels.append(sums[at : at + n].copy())
+            at, n = at + n, 0 if n == 1 else -(-n // FANOUT)
+        return tree
+
+    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(segments)
+        return np.fromiter(map(len, segments), np.int32, n), np.fromiter(map(self.counts.__getitem__, segments), np.int32, n)
+
+    def _grow(self) -> None:
+        """Deal the segments into full leaves and add up the levels; nothing is encoded."""
+        n = len(self.tokens)
+        starts = np.arange(0, n, LEAF)
+        self.leaves = np.diff(np.append(starts, n)).astype(np.int32) if n else np.zeros(0, np.int32)
+        self.levels = [np.add.reduceat(self.tokens, starts, dtype=np.int64)] if n else []
+        while n and len(self.levels[-1]) > 1:
+            self.levels.append(np.add.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), FANOUT)))
 
     @property
     def total(self) -> int:
-        return int(self.levels[-1][0]) if len(self.levels[-1]) else 0
+        return int(self.levels[-1][0]) if self.levels else 0
 
-    def put(self, segment: int, value: int) -> None:
-        """Set one segment's count, and the sums above it."""
-        change = value - int(self.levels[0][segment])
-        if change:
-            for level in self.levels:
-                level[segment] += change
-                segment //= FANOUT
+    @property
+    def sums(self) -> np.ndarray:
+        return np.concatenate(self.levels) if self.levels else np.zeros(0, np.int64)
+
+    def _add(self, leaf: int, change: int) -> None:
+        for level in self.levels if change else ():
+            level[leaf] += change
+            leaf //= FANOUT
 
     def apply(self, edits: list[Edit]) -> tuple[str, int]:
         """Apply edits in order of place; the new text and how many segments were encoded again.
 
-        Afterwards the tree has the new counts, those of a touched run on its first segment.
+        Places count characters of the text as it is before the call. Afterwards the tree is that of
+        the new text, but for leaves that became longer or shorter; when one passes four times its
+        size, all are dealt anew.
         """
         if not edits:
             return self.text, 0
-        if not len(self.ends):
-            text = "".join(new for _, _, new in edits)
-            self.__init__(text, self.counts)
-            return text, len(self.ends)
-        last = len(self.ends) - 1
+        if not len(self.lengths):
+            self.__init__("".join(new for _, _, new in sorted(edits, key=lambda e: e[:2])), self.counts)
+            return self.text, len(self.lengths)
+        ends, last = np.cumsum(self.lengths, dtype=np.int64), len(self.lengths) - 1
         runs: list[list] = []
-        for start, end, new in sorted(edits):
-            first = int(np.searchsorted(self.ends, max(start - 1, 0), side="right"))
-            final = min(int(np.searchsorted(self.ends, end, side="right")), last)
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
+            first = min(int(np.searchsorted(ends, max(start - 1, 0), side="right")), last)
+            final = min(int(np.searchsorted(ends, end, side="right")), last)
             if runs and first <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], final)
                 runs[-1][2].append((start, end, new))
             else:
                 runs.append([first, final, [(start, end, new)]])
-        out, at, encoded = [], 0, 0
+        bounds = np.cumsum(self.leaves, dtype=np.int64)
+        out, at, encoded, kept = [], 0, 0, 0
+        lengths, tokens = [], []
         for first, final, own in runs:
-            begin = int(self.ends[first - 1]) if first else 0
-            stop = int(self.ends[final])
+            begin = int(ends[first - 1]) if first else 0
+            stop = int(ends[final])
             parts, here = [], begin
             for start, end, new in own:
                 parts += [self.text[here:start], new]
                 here = end
             region = "".join([*parts, self.text[here:stop]])
-            segments = _SEGMENT.findall(region)
-            self.put(first, sum(map(self.counts.__getitem__, segments)))
-            for k in range(first + 1, final + 1):
-                self.put(k, 0)
             out += [self.text[at:begin], region]
-            at, encoded = stop, encoded + len(segments)
+            fresh = self._encode(_SEGMENT.findall(region))
+            lengths += [self.lengths[kept:first], fresh[0]]
+            tokens += [self.tokens[kept:first], fresh[1]]
+            # the new segments join the first leaf that the old ones leave
+            home = int(np.searchsorted(bounds, first, side="right"))
+            for leaf in range(home, int(np.searchsorted(bounds, final, side="right")) + 1):
+                a = max(first, int(bounds[leaf - 1]) if leaf else 0)
+                b = min(final + 1, int(bounds[leaf]))
+                self.leaves[leaf] -= b - a
+                self._add(leaf, -int(self.tokens[a:b].sum()))
+            self.leaves[home] += len(fresh[0])
+            self._add(home, int(fresh[1].sum()))
+            at, kept, encoded = stop, final + 1, encoded + len(fresh[0])
         self.text = "".join([*out, self.text[at:]])
+        self.lengths, self.tokens = np.concatenate([*lengths, self.lengths[kept:]]), np.concatenate([*tokens, self.tokens[kept:]])
+        if int(self.leaves.max()) > 4 * LEAF:
+            self._grow()
         return self.text, encoded
 
 
@@ -148,27 +189,100 @@ def cleaning_edits(text: str) -> list[Edit]:
     return sorted(edits)
 
 
-def count_with_edits(docs: DataFrame, tokenizer: str, rule: Callable[[str], list[Edit]] = cleaning_edits, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, tokens_before, tokens_after, n_edits, n_segments, n_encoded (, text).
+#: A document's state: its text, its segments' lengths in characters and token counts, segments of each leaf, sums level by level.
+TREE = "doc_id long, text string, lengths array<int>, tokens array<int>, leaves array<int>, sums array<long>"
+COUNTS = "tokens_before long, n_edits long, n_segments long, n_encoded long"
+#: Rows of an output batch.
+ROWS = 1000
+
 
-    ``rule`` gives a text's edits. n_segments is what a full count encodes, n_encoded what the edits
-    made it encode again. A null text counts as empty. Rows stay in their tasks. Repeated rows are
-    counted alike; other columns are ignored.
+def _lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.from_numpy_dtype(kind)))
+
+
+def _columns(ids: pa.Array, trees: list[CountTree], nulls: list[bool]) -> list[pa.Array]:
+    texts = pa.array([None if gone and not tree.text else tree.text for tree, gone in zip(trees, nulls, strict=True)], pa.string())
+    numbers = [_lists([getattr(t, c) for t in trees], np.dtype(np.int32)) for c in ("lengths", "tokens", "leaves")]
+    return [ids, texts, *numbers, _lists([t.sums for t in trees], np.dtype(np.int64))]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def count_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The count tree of every row of ``docs``: doc_id, text, lengths, tokens, leaves, sums.
+
+    This is the one full encoding; write the table down, and edits go on from it. A null text counts
+    as empty and stays null until an edit puts something there. Rows stay in their tasks. Repeated
+    rows have trees of their own; other columns are ignored.
     """
-    fields = ["doc_id long", "tokens_before long", "tokens_after long", "n_edits long", "n_segments long", "n_encoded long"] + ["text string"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = SegmentCounts(tokenizer)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                tree = CountTree(text.as_py() or "", counts)
-                before, edits, segments = tree.total, rule(tree.text), len(tree.ends)
-                new, encoded = tree.apply(edits)
-                rows.append((before, tree.total, len(edits), segments, encoded, new))
-            numbers = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *numbers, *[pa.array([r[5] for r in rows], pa.string())] * with_text], [f.split()[0] for f in fields]
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(fields))
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                texts = batch.column(1).to_pylist()
+                trees = [CountTree(t or "", counts) for t in texts]
+                yield pa.RecordBatch.from_arrays(_columns(batch.column(0), trees, [t is None for t in texts]), _names(TREE))
+
+    return docs.select("doc_id", "text").mapInArrow(run, TREE)
+
+
+def _edited(trees: DataFrame, tokenizer: str, edits_of: Callable[[str, list | None], list[Edit]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = SegmentCounts(tokenizer)
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                texts = batch.column(1).to_pylist()
+                listed = batch.column(6).to_pylist() if batch.num_columns > 6 else [None] * len(texts)
+                lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[2:6]]
+                done, rows = [], []
+                for n, text in enumerate(texts):
+                    tree = CountTree.stored(text or "", counts, *[values[ends[n] : ends[n + 1]] for ends, values in lists])
+                    edits, before, segments = edits_of(tree.text, listed[n]), tree.total, len(tree.lengths)
+                    _, encoded = tree.apply(edits)
+                    done.append(tree)
+                    rows.append((before, len(edits), segments, encoded))
+                numbers = [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*_columns(batch.column(0), done, [t is None for t in texts]), *numbers], _names(f"{TREE}, {COUNTS}"))
+
+    return trees.mapInArrow(run, f"{TREE}, {COUNTS}")
+
+
+def edit_by_rule(trees: DataFrame, tokenizer: str, rule: Callable[[str], list[Edit]]) -> DataFrame:
+    """The trees after the edits that ``rule`` makes of their texts, with tokens_before, n_edits, n_segments, n_encoded."""
+    return _edited(trees.select(*_names(TREE)), tokenizer, lambda text, _: rule(text))
+
+
+def edit_by_table(trees: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
+    """The trees after listed edits, with tokens_before, n_edits, n_segments, n_encoded.
+
+    edits: (doc_id, start, end, new), at places of the trees' texts; those of a document do not
+    overlap. Rows that share a doc_id get the same edits, rows without one get none, and edits of
+    unknown documents are left out. A text's edits meet in its row.
+    """
+    own = edits.filter("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("__edits"))
+    met = trees.select(*_names(TREE)).join(own, "doc_id", "left")
+    return _edited(met, tokenizer, lambda _, listed: [(e["start"], e["end"], e["new"] or "") for e in listed or []])
+
+
+def total_tokens() -> Column:
+    """A tree's root: the tokens of its text."""
+    return F.coalesce(F.try_element_at("sums", F.lit(-1)), F.lit(0)).cast("long")
+
+
+def count_with_edits(docs: DataFrame, tokenizer: str, rule: Callable[[str], list[Edit]] = cleaning_edits, with_text: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, tokens_before, tokens_after, n_edits, n_segments, n_encoded (, text).
+
+    Trees are counted and written down; the edits that ``rule`` gives of a text then go on from
+    those. n_segments is what a full count encodes, n_encoded what the edits made it encode again. A
+    null text counts as empty. Rows stay in their tasks. Repeated rows are counted alike; other
+    columns are ignored.
+    """
+    trees = materialise(count_trees(docs, tokenizer), "count-trees")
+    edited = edit_by_rule(trees, tokenizer, rule)
+    return edited.select("doc_id", "tokens_before", total_tokens().alias("tokens_after"), "n_edits", "n_segments", "n_encoded", *["text"] * with_text)
