@@ -1,10 +1,11 @@
 """Language identification with a string kernel.
 
 The kernel of two texts is the blended spectrum of which byte n-grams (n = 1 to 4, hashed) are
-present in both, normalised. Landmark texts span it (Nystroem), one ridge regression a language
-against the rest is solved on the landmark features, and texts are scored in batches by two matrix
-products. Long texts are cut into windows whose scores are averaged, so presence does not saturate
-and every byte counts.
+present in both, normalised. Texts are cut into windows, so presence does not saturate and every
+byte counts. Landmark windows span the kernel (Nystroem), one ridge regression a language against
+the rest is solved on the landmark features of all windows of the sampled texts, and texts are
+scored in batches by two matrix products, the scores of their windows averaged. The normal equations
+are added up by tasks, so the driver sees landmarks and sums alone.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import text_blocks
+from logwarden.llm.common import materialise, text_blocks
 
 UNKNOWN = "und"
 #: Presence features; the longest n-gram; bytes of a window; labelled texts a language; landmarks.
 FEATURES, LONGEST, WINDOW, PER_LANGUAGE, LANDMARKS = 8192, 4, 4096, 400, 160
 RIDGE, SHARPNESS = 1e-2, 8.0
+#: Bytes from which a text says enough about its language to be rejected.
+TELLING = 256
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -78,27 +81,27 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """One-versus-rest kernel ridge regression on Nystroem features of the labelled rows."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Model(np.zeros((x.shape[1], 0), np.float32), np.zeros((0, 0)), [])
-    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
-    # landmarks: the same number from each language, spread over its rows
-    chosen, per = [], max(1, landmarks // len(languages))
-    names = np.array(labels, dtype=object)
-    for lang in languages:
-        own = np.flatnonzero(names == lang)
-        chosen += own[np.unique(np.linspace(0, len(own) - 1, min(per, len(own))).astype(int))].tolist()
-    base = unit[chosen]
+def spanning(base: np.ndarray) -> np.ndarray:
+    """Combinations of landmarks (rows of unit length) that are orthonormal in the kernel's space."""
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (unit @ base.T).astype(np.float64) @ root
-    y = np.where(names[:, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
-    # every language weighs the same, however many rows it has
-    weight = np.array([1.0 / (names == n).sum() for n in names])[:, None]
-    beta = np.linalg.solve((z * weight).T @ z + ridge * np.eye(z.shape[1]), (z * weight).T @ y)
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+
+
+def solve(moments: dict[str, np.ndarray], root: np.ndarray, base: np.ndarray, ridge: float = RIDGE) -> Model:
+    """One-versus-rest ridge regression from the sums of each language's windows: z' z, then z, then their number.
+
+    Every language weighs the same, however many windows it has.
+    """
+    languages, n = sorted(moments), root.shape[1]
+    share = {g: moments[g] / moments[g][-1] for g in languages}
+    gram = sum(share[g][: n * n].reshape(n, n) for g in languages)
+    means = np.array([share[g][n * n : -1] for g in languages])
+    beta = np.linalg.solve(gram + ridge * np.eye(n), 2 * means.T - means.sum(axis=0)[:, None])
     return Model(np.ascontiguousarray(base.T, np.float32), (root @ beta).astype(np.float32), languages)
 
 
@@ -107,36 +110,85 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` documents of each language, those of least hash of doc_id.
+def sampled(docs: DataFrame, per_language: int) -> DataFrame:
+    """doc_id, lang, text of at most ``per_language`` documents of each language, those of least hash of doc_id.
 
-    The bound is on the sample for fitting only. Features are made by tasks: the driver receives a
-    bitmap of FEATURES bits a sampled document.
+    Ids are ranked in two steps, so that what meets in a language's one task does not grow with the
+    number of splits. The ids, a bounded number, are broadcast. Of rows that share an id and language
+    the least text is taken.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # in two steps, so that what meets in a language's one task does not grow with the number of splits
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = labelled.select("doc_id", "lang").withColumn("__b", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64)))
+    ids = labelled.groupBy("doc_id", "lang").agg(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64)).alias("__b"))
     for keys in (["lang", "__b"], ["lang"]):
         ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash))).filter(F.col("__n") <= per_language).drop("__n")
-    wanted = [r[0] for r in ids.select("doc_id").collect()]
-    sample = labelled.filter(F.col("doc_id").isin(wanted))
+    ids = materialise(ids.select("doc_id", "lang"), "language-ids")
+    return materialise(labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "language-sample")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def landmark_windows(sample: DataFrame, landmarks: int) -> np.ndarray:
+    """Unit presence vectors of the same number of windows from each language, one a text; the driver gets a bitmap each.
+
+    Texts are taken in the order of their hash, and of a text a window that its hash picks.
+    """
+    counts = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    if not counts:
+        return np.zeros((0, FEATURES), np.float32)
+    per = max(1, landmarks // len(counts))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = sample.withColumn("__n", rank).filter(F.col("__n") <= per).withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))).select("text", "lang", "doc_id", "at")
+
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, offsets, raw in text_blocks(batch, "text"):
+            for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
                 spans, owner = windows_of(offsets)
-                # one window a document, the middle one
-                first_of = np.unique(owner, return_index=True)[1]
-                one = first_of + np.diff(np.append(first_of, len(owner))) // 2
-                x = presence(raw, [spans[k] for k in one])
-                bits = [row.tobytes() for row in np.packbits(x > 0, axis=1)]
-                rows = pa.array(first + owner[one])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
+                begin = np.searchsorted(owner, np.arange(len(offsets)))
+                at = batch.column(3).slice(first, len(offsets) - 1).to_numpy()
+                mine = [int(begin[d] + at[d] % (begin[d + 1] - begin[d])) for d in range(len(at)) if begin[d + 1] > begin[d]]
+                bits = [presence(raw[a:b], [(0, b - a)])[0] > 0 for a, b in (spans[k] for k in mine)]
+                rows = pa.array(first + owner[mine].astype(np.int64) if mine else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(rows), batch.column(2).take(rows), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], ["lang", "doc_id", "bits"]
+                )
+
+    found = sorted(chosen.mapInArrow(bitmaps, "lang string, doc_id long, bits binary").collect())
+    return unit(np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found], np.float32).reshape(-1, FEATURES))
 
-    found = sample.select("doc_id", "text", "lang").mapInArrow(features, "doc_id long, lang string, bits binary").toPandas().sort_values(["lang", "doc_id"])
-    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b in found["bits"]], np.float32).reshape(-1, FEATURES)
-    return fit(x, found["lang"].tolist())
+
+def window_moments(sample: DataFrame, base: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
+    """For each language the sums over all windows of all its texts: z' z flattened, z, and their number.
+
+    Each task adds up its own; Spark adds the tasks' sums place by place.
+    """
+    n = root.shape[1]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
+                spans, owner = windows_of(offsets)
+                for k in range(0, len(spans), 256):
+                    z = (unit(_presence_of(raw, spans[k : k + 256])) @ base.T).astype(np.float64) @ root
+                    own = langs[first + owner[k : k + 256]]
+                    for lang in set(own):
+                        mine = z[own == lang]
+                        held[lang] = held.get(lang, 0) + np.concatenate([(mine.T @ mine).ravel(), mine.sum(axis=0), [len(mine)]])
+        for lang, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["lang", "i", "v"])
+
+    rows = sample.select("text", "lang").mapInArrow(sums, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()
+    return {lang: own.sort_values("i")["v"].to_numpy() for lang, own in rows.groupby("lang") if len(own) == n * n + n + 1}
+
+
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
+    """Fit on all windows of at most ``per_language`` documents of each language; that bound is the sample's only one."""
+    sample = sampled(docs, per_language)
+    base = landmark_windows(sample, landmarks)
+    if not len(base):
+        return Model(np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), [])
+    root = spanning(base)
+    return solve(window_moments(sample, base, root), root, base)
 
 
 def _presence_of(raw: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -144,24 +196,23 @@ def _presence_of(raw: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     return presence(raw[start:end], [(a - start, b - start) for a, b in spans])
 
 
-def _classify(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, places in the model's languages (their number for ``und``) and scores, for runs of a batch's rows."""
+def _classify(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, places in the model's languages (their number for ``und``), scores, and whether there are letters, for runs of a batch's rows."""
     texts = batch.column(batch.schema.get_field_index("text"))
     letters = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
     for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
         n = len(offsets) - 1
         spans, owner = windows_of(offsets)
-        best, score = np.full(n, len(model.languages)), np.zeros(n)
+        best, score, ok = np.full(n, len(model.languages)), np.zeros(n), letters[first : first + n]
         if len(spans) and model.languages:
             p = np.concatenate([model.scores(_presence_of(raw, spans[k : k + 256])) for k in range(0, len(spans), 256)])
             lengths = np.array([b - a for a, b in spans], float)
             total = np.zeros((n, p.shape[1]))
             np.add.at(total, owner, p * lengths[:, None])
             total /= np.maximum(np.diff(offsets)[:, None], 1)
-            ok = letters[first : first + n]
             best = np.where(ok, total.argmax(axis=1), best)
             score = np.where(ok, np.clip(total.max(axis=1), 0, 1), 0.0)
-        yield first, best, score
+        yield first, best, score, ok
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,7 +221,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, best, score in _classify(batch, model):
+            for first, best, score, _ in _classify(batch, model):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(best)), pa.array([languages[k] for k in best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
                 )
@@ -190,16 +241,30 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The documents with a language: those without letters go, and those scored below ``least_score``.
+def least_scores(docs: DataFrame, model: Model, per_language: int) -> dict[str, float]:
+    """For each language the score halfway from chance to the least of its sampled texts of some length that are predicted rightly."""
+    sample = sampled(docs, per_language).filter(F.octet_length("text") >= TELLING)
+    right = sample.join(predict(sample, model), "doc_id").filter(F.col("lang") == F.col("lang_pred"))
+    rows = right.groupBy("lang").agg(F.min("score").alias("least")).collect()
+    return {r["lang"]: (r["least"] + 1 / len(model.languages)) / 2 for r in rows}
+
+
+def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The documents with a language: those without letters go, and those that no language scores as it scores its own.
 
-    Each row is decided on by its own text where it is read, whatever ids rows share.
+    The least score of a language comes from the sample, see least_scores(); texts of fewer than
+    TELLING bytes are too short to be rejected for it. If nothing could be learned, all with letters
+    stay. Each row is decided on by its own text where it is read,
+    whatever ids rows share.
     """
     model = learn(docs, per_language)
+    found = least_scores(docs, model, per_language) if model.languages else {}
+    least = np.array([*(found.get(g, 0.0) for g in model.languages), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, best, score in _classify(batch, model):
-                yield batch.slice(first, len(best)).filter(pa.array((best < len(model.languages)) & (score >= least_score)))
+            for first, best, score, ok in _classify(batch, model):
+                sizes = pc.fill_null(pc.binary_length(batch.column("text").slice(first, len(best))), 0).to_numpy(zero_copy_only=False)
+                yield batch.slice(first, len(best)).filter(pa.array(ok & ((score >= least[best]) | (sizes < TELLING))))
 
     return docs.mapInArrow(run, docs.schema)
