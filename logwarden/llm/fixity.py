@@ -5,7 +5,9 @@ Every file of a replica is a tree: the leaves are digests of records, a node is
 ``fanout`` ordered ranges below it, the root stands for the file. Two replicas are compared root by
 root; only below roots, and then nodes, that differ are their children compared, down to the
 records. There, records are matched by what they hold and then by their id, so a record lost or
-inserted inside a file is told from those that it shifts. All of it is DataFrame expressions, a group-by a level over at most ``fanout`` children.
+inserted inside a file is told from those that it shifts. Records are hashed and measured where they
+are read; digests and lengths are all that moves. All of it is DataFrame expressions, a group-by a
+level over at most ``fanout`` children.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from logwarden.llm.common import materialise
 FANOUT = 16
 #: Pages in a file, by page_id.
 FILE_PAGES = 256
+#: Files that pages without an id are dealt over.
+LOOSE_FILES = 1 << 16
 
 
 def warc_payload(url: Column, html: Column, page_id: Column) -> Column:
@@ -31,24 +35,41 @@ def warc_payload(url: Column, html: Column, page_id: Column) -> Column:
     return F.concat(F.encode(head, "utf-8"), block, F.encode(F.lit("\r\n\r\n"), "utf-8"))
 
 
-def warc_records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """file_id, record_no, page_id, offset, length, payload: pages in files of ``file_pages`` page ids.
+def _filed(pages: DataFrame, file_pages: int) -> DataFrame:
+    """page_id, file_id, length, digest, payload: records with their files, as they are read."""
+    rows = pages.select("page_id", "url", warc_payload(F.col("url"), F.col("html"), F.col("page_id")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.length("payload").cast("long"))
+    loose = -1 - F.pmod(F.xxhash64(F.coalesce("url", "digest")), F.lit(LOOSE_FILES))
+    return rows.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / file_pages), loose).cast("long"))
 
-    Pages without an id are in file -1. Repeated rows are records of their own.
-    """
-    rows = pages.select("page_id", warc_payload(F.col("url"), F.col("html"), F.col("page_id")).alias("payload"))
-    rows = rows.withColumn("file_id", F.coalesce(F.floor(F.col("page_id") / file_pages), F.lit(-1)).cast("long")).withColumn("length", F.length("payload").cast("long"))
-    order = Window.partitionBy("file_id").orderBy("page_id", F.sha2("payload", 256))
+
+def _numbered(rows: DataFrame, *more: str) -> DataFrame:
+    order = Window.partitionBy("file_id").orderBy("page_id", "digest")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return rows.select(
-        "file_id", (F.row_number().over(order) - 1).cast("long").alias("record_no"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "payload"
+        "file_id", (F.row_number().over(order) - 1).cast("long").alias("record_no"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", *more
     )
 
 
+def warc_index(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
+    """file_id, record_no, page_id, offset, length, digest: where each page's record is, without its bytes.
+
+    Files hold ``file_pages`` page ids. Pages without an id are dealt over LOOSE_FILES files, numbered
+    below zero, by their URL, or by their digest if they have none. Repeated rows are records of their own.
+    """
+    return _numbered(_filed(pages, file_pages).drop("payload"), "digest")
+
+
+def warc_records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
+    """warc_index() with the records' bytes (payload) instead of their digests, for writing files."""
+    return _numbered(_filed(pages, file_pages), "payload")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """Level 0: a digest of each record with its place, so a moved record differs too; and its id, if it has any."""
     own = F.col("page_id") if "page_id" in records.columns else F.lit(None).cast("long")
-    return records.select("file_id", F.lit(0).alias("level"), F.col("record_no").alias("node"), "offset", "length", F.sha2("payload", 256).alias("digest"), own.alias("page_id"))
+    digest = F.col("digest") if "digest" in records.columns else F.sha2("payload", 256)
+    return records.select("file_id", F.lit(0).alias("level"), F.col("record_no").alias("node"), "offset", "length", digest.alias("digest"), own.alias("page_id"))
 
 
 def merkle_tree(level0: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
@@ -114,7 +135,7 @@ def audit(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataF
 
 
 def fixity_audit(first: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Compare two tables of records (file_id, record_no, offset, length, payload; page_id where records have ids).
+    """Compare two tables of records (file_id, record_no, offset, length, digest or payload; page_id where records have ids).
 
     One row per record that differs; none where replicas agree or both are empty. A null payload is
     a record without a digest and differs from any that has one.
@@ -127,8 +148,10 @@ def damaged(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
     """A replica's pages with damage by rule, for audits of derived data.
 
     Of every 97 pages one has its first character of html overwritten; every seventh file has lost
-    its last pages.
+    its last pages, and every fifth one page inside, which shifts the records after it.
     """
-    lost = (F.floor(F.col("page_id") / file_pages) % 7 == 3) & (F.col("page_id") % file_pages >= file_pages - 6)
+    inside = F.pmod("page_id", F.lit(file_pages))
+    tail = (F.floor(F.col("page_id") / file_pages) % 7 == 3) & (inside >= file_pages - 6)
+    lost = tail | (F.floor(F.col("page_id") / file_pages) % 5 == 0) & (inside == 10)
     html = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
     return pages.filter(~F.coalesce(lost, F.lit(False))).select("page_id", "url", html.alias("html"))

@@ -35,7 +35,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return fixity.fixity_audit(fixity.warc_records(pages), fixity.warc_records(fixity.damaged(pages)))
+    return fixity.fixity_audit(fixity.warc_index(pages), fixity.warc_index(fixity.damaged(pages)))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +85,11 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc_fixity": f"""
         WITH b AS (SELECT page_id, page_id // 256 AS file_id, coalesce(strlen(url), 0) AS url_bytes, coalesce(strlen(html), 0) + {_HTTP} AS block FROM pages),
              r AS (SELECT *, {_HEAD} + strlen(CAST(page_id AS VARCHAR)) + url_bytes + strlen(CAST(block AS VARCHAR)) + block + 4 AS length FROM b),
-             o AS (SELECT *, row_number() OVER w - 1 AS record_no, sum(length) OVER w - length AS "offset",
-                     file_id % 7 = 3 AND page_id % 256 >= 250 AS lost, page_id % 97 = 5 AS hit FROM r WINDOW w AS (PARTITION BY file_id ORDER BY page_id))
-        SELECT file_id, record_no, CASE WHEN lost THEN 'missing' ELSE 'altered' END AS fault, "offset", length,
-               CASE WHEN NOT lost THEN "offset" END AS replica_offset, CASE WHEN NOT lost THEN length END AS replica_length
-        FROM o WHERE lost OR hit
+             o AS (SELECT *, row_number() OVER w - 1 AS record_no, sum(length) OVER w - length AS "offset", page_id % 97 = 5 AS hit,
+                     file_id % 7 = 3 AND page_id % 256 >= 250 OR file_id % 5 = 0 AND page_id % 256 = 10 AS lost FROM r WINDOW w AS (PARTITION BY file_id ORDER BY page_id)),
+             q AS (SELECT *, "offset" - coalesce(sum(CASE WHEN lost THEN length ELSE 0 END) OVER (PARTITION BY file_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kept_at FROM o)
+        SELECT file_id, record_no, CASE WHEN lost THEN 'missing' WHEN hit THEN 'altered' ELSE 'moved' END AS fault, "offset", length,
+               CASE WHEN NOT lost THEN kept_at END AS replica_offset, CASE WHEN NOT lost THEN length END AS replica_length
+        FROM q WHERE lost OR hit OR kept_at <> "offset"
     """,
 }

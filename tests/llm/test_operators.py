@@ -306,6 +306,8 @@ def test_fixity_inside_files(spark):
     want += [(r["file_id"], r["record_no"], "missing", r["offset"], r["length"], None, None) for r in left]
     want += [(r["file_id"], r["record_no"], "surplus", None, None, r["offset"], r["length"]) for r in two]
     got = [tuple(r) for r in fixity.fixity_audit(table(first), table(other)).collect()]
+    index = lambda x: fixity.warc_index(spark.createDataFrame(x, "page_id long, url string, html string"))
+    assert sorted(map(str, map(tuple, fixity.fixity_audit(index(first), index(other)).collect()))) == sorted(map(str, got))
     assert sorted(map(str, got)) == sorted(map(str, want))
     faults = collections.Counter(r[2] for r in got)
     assert (faults["missing"], faults["surplus"], faults["altered"]) == (3, 3, 3) and faults["moved"] > 400
@@ -578,6 +580,56 @@ def test_language(spark):
     assert kept.columns == frame.columns and {d for d, _, _ in rows} - {r["doc_id"] for r in kept.collect()} == {900, 901, 902}
 
 
+def test_language_model_is_kernel_ridge_regression(spark):
+    """Every window a landmark: the Nystroem model must be dense kernel ridge regression, by the kernel matrix alone."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(STEMS[g].split()) for _ in range(rng.choice([2, 9, 40]))), g) for k, g in enumerate("aa bb cc aa bb".split() * 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    model = language.learn(frame, landmarks=3 * len(rows))
+    x = language.unit(np.concatenate([language.presence(np.frombuffer(t.encode(), np.uint8), [(0, len(t.encode()))]) for _, t, _ in rows])).astype(float)
+    names = np.array([g for _, _, g in rows])
+    y = np.where(names[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    weight = np.array([1 / (names == g).sum() for g in names])
+    kernel = x @ x.T
+    # minimises sum of w (f - y)^2 + ridge |f|^2 over f in the kernel's space
+    alpha = np.linalg.solve(kernel * weight[None, :] + language.RIDGE * np.eye(len(rows)), y)
+    want = kernel @ (weight[:, None] * alpha)
+    got = (x @ model.landmarks) @ model.weights
+    assert np.abs(got - want).max() < 2e-3
+
+
+def test_language_learns_from_every_window(spark):
+    """The language shows in one window of a long text alone, at its start, middle or end."""
+    rng = random.Random(4)
+    filler = "0123 456 789 " * 320
+    rows = []
+    for k in range(90):
+        g = rng.choice(sorted(STEMS))
+        parts = [filler] * 5
+        parts[rng.randrange(5)] = " ".join(rng.choice(STEMS[g].split()) for _ in range(900))
+        rows.append((k, "".join(parts), g))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame).collect()}
+    assert np.mean([got[d] == g for d, _, g in rows]) > 0.97
+
+
+def test_sample_is_bounded_by_rows(spark):
+    own = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [(own, f"the and {k}", "aa") for k in range(50)] + [(k, "und nicht der", "bb") for k in range(100, 160)] + [(None, "the", "aa")]
+    got = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 7).collect()
+    assert collections.Counter(r["lang"] for r in got) == {"aa": 1, "bb": 7}
+
+
+def test_keep_identified_rejects_what_no_language_claims(spark):
+    odd = [(900, "qx zzkw vvyq xjxj kqkq wzwz " * 40, None), (901, "qx zz", None)]
+    frame = spark.createDataFrame(language_rows(120) + odd, "doc_id long, text string, lang string")
+    gone = {r["doc_id"] for r in frame.collect()} - {r["doc_id"] for r in language.keep_identified(frame).collect()}
+    assert gone == {900}
+    unlabelled = frame.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(unlabelled).count() == 122
+
+
 def test_keep_identified_decides_by_row(spark):
     odd = [(None, "123", "aa"), (None, "und nicht der", "bb"), (900, "...", "aa"), (900, "the and there", "aa")]
     frame = spark.createDataFrame(language_rows(60) + odd, "doc_id long, text string, lang string")
