@@ -12,6 +12,12 @@ ROTATION = r"^\d{4}-\d{2}-\d{2}T.*newsyslog"
 CDN_FIELDS = ("cache_status", "status", "ms", "bytes", "zone", "ip", "ref", "url", "edge", "ua", "request_id", "country")
 COMBINED_FIELDS = ("ip", "time", "verb", "path", "status", "ref", "ua")
 _MARK = "\u0001"
+#: What counts as white space around a line.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def combined_parts(line: Column) -> Column:

@@ -20,6 +20,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("long").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_partkey").cast("long").alias("pk"),
         F.col("l_suppkey").cast("long").alias("sk"), F.col("l_quantity").cast("int").alias("q"),
     )
+    # the table is one row group, hence one task; a log is many splits
+    li = li.repartition(spark.sparkContext.defaultParallelism)
     rows = li.selectExpr("*", "(ok*7919 + ln*104729 + pk*31) % 10800 AS sec", "(ok*31 + ln*17 + pk*7) % 100 AS k")
     rows = rows.selectExpr(
         f"timestamp_seconds({BASE} + sec) AS ts",
@@ -31,7 +33,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ELSE concat('/p', pk % 10, '/', pk % 40, repeat('x', q)) END AS path""",
         "CASE WHEN k < 45 THEN 301 WHEN k < 50 THEN 404 WHEN q >= 47 THEN 404 WHEN q = 46 THEN 503 ELSE 200 END AS status",
         "CASE WHEN k < 45 THEN 'netbot/1.0' WHEN k < 50 THEN NULL ELSE concat('Mozilla/5.', sk % 20) END AS ua",
-        "'GET' AS verb", "CAST(NULL AS STRING) AS ref",
+        "CASE WHEN k >= 50 AND ok % 7 = 0 THEN 'POST' WHEN k >= 50 AND ok % 11 = 0 THEN 'HEAD' ELSE 'GET' END AS verb",
+        "CASE WHEN (ok + ln) % 3 > 0 THEN concat('https://site', pk % 15, '.example/', ln) END AS ref",
     )
     hexed = F.when(network.is_ipv4(F.col("ip")), network.ipv4_hex(F.col("ip")))
     rows = rows.withColumn("status_class", parsing.status_class(F.col("status"))).withColumn("ip_hex", hexed)

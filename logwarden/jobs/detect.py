@@ -15,7 +15,7 @@ KEY = entities.KEY
 
 def grain_of(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     """Requests as counts by window, client and path: what all later steps read."""
-    return entities.request_grain(entities.add_network(windows.assign_windows(requests, cfg=cfg), cfg))
+    return entities.add_network(entities.request_grain(windows.assign_windows(requests, cfg=cfg)), cfg)
 
 
 def train(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,7 +14,7 @@ from logwarden.functions import network, parsing
 from logwarden.jobs import derived, detect, oracle, report
 from logwarden.operators import baseline, entities, persistence, prefixes, rates, windows
 from logwarden.sources import logs
-from logwarden.sources.scratch import materialise
+from logwarden.sources.scratch import materialise, scratch_dir
 from logwarden.streaming import detector as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +60,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and parsing -----------------------------------------------------------------------
 
 
-@query(oracle.sql([oracle.REQ], "SELECT ts, ip, 'GET' AS verb, path, status, status_class, CAST(NULL AS VARCHAR) AS ref, ua, 'combined' AS fmt FROM r"))
+@query(oracle.sql([oracle.REQ], "SELECT ts, ip, verb, path, status, status_class, ref, ua, 'combined' AS fmt FROM r"))
 def parse_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = materialise(derived.combined_lines(derived.requests(spark, sf_dir)), "lines")
     return logs.requests(logs.parse_lines(lines)).select("ts", "ip", "verb", "path", "status", "status_class", "ref", "ua", "fmt")
@@ -102,6 +103,51 @@ def ip_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.ip_dimension(derived.requests(spark, sf_dir)).select(F.col("canonical").alias("ip"), "cidr", "is_v6", "ip_hex")
 
 
+@query(
+    oracle.sql(
+        [oracle.REQ],
+        """SELECT DISTINCT ip || CASE WHEN ip LIKE '%:%' THEN '/48' ELSE '/24' END AS network, cidr AS canonical FROM r
+           UNION ALL SELECT DISTINCT split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2), split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2) FROM r WHERE ip NOT LIKE '%:%'""",
+    )
+)
+def canonical_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks written with host bits, and texts that are none, in canonical form."""
+    ip = F.col("ip")
+    six = F.contains(ip, F.lit(":"))
+    rows = derived.requests(spark, sf_dir)
+    nets = rows.select(F.concat(ip, F.when(six, "/48").otherwise("/24")).alias("cidr")).unionByName(rows.filter(~six).select(F.substring_index(ip, ".", 2).alias("cidr")))
+    return network.network_base(nets).select(F.col("raw").alias("network"), "canonical")
+
+
+@query(
+    oracle.sql(
+        [oracle.REQ],
+        """SELECT f.name, f.fmt, count(r.sec) AS requests FROM (VALUES ('log=a', 'combined', 0), ('log=b', 'cdn', 1), ('log=c', 'combined', 2), ('log=d', 'cdn', 3)) f(name, fmt, k)
+           LEFT JOIN r ON f.k < 2 AND r.sec % 2 = f.k GROUP BY ALL""",
+    )
+)
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats found by the heads of text files, and the requests that files yield when read in their format.
+
+    Two folders hold a log each, one in each format, that begins with blank lines; two hold lines
+    that are no requests, the last of them after one line that is in the CDN format but for its time.
+    """
+    path = f"{scratch_dir(spark)}/logs-{uuid.uuid4().hex}"
+    rows = derived.requests(spark, sf_dir).withColumn("sec", F.unix_seconds("ts") - derived.BASE)
+    other = rows.filter("sec = 0").select(F.lit("no request").alias("value"))
+    blank = lambda n: F.concat(F.lit("\n" * n), F.col("value")).alias("value")
+    derived.combined_lines(rows.filter("sec % 2 = 0")).select(blank(1)).write.text(f"{path}/log=a")
+    derived.cdn_lines(rows.filter("sec % 2 = 1")).select(blank(2)).write.text(f"{path}/log=b")
+    other.write.text(f"{path}/log=c")
+    other.limit(1).select(F.lit("HIT|200|99999999999999999999|1|1|1.1.1.1|-|/|LA|x|y|CN").alias("value")).write.text(f"{path}/log=d")
+    lines = logs.read_lines(spark, f"{path}/log=*")
+    name = F.regexp_extract("file", "(log=[a-d])", 1).alias("name")
+    found = logs.detect_formats(lines)
+    per = found.groupBy(name, "fmt").agg(F.count(F.lit(1)).alias("files")).drop("files")
+    good = logs.parse_lines(lines.join(F.broadcast(found), "file")).filter("reject is null").groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    return per.join(good, "name", "left").select("name", "fmt", F.coalesce("n", F.lit(0)).cast("long").alias("requests"))
+
+
 @query(
     oracle.sql(
         [oracle.REQ, "d AS (SELECT unnest([2, 4, 6, 8, 16, 32, 64]) AS depth)"],
@@ -143,12 +189,12 @@ _COUNTS = ["total_requests", "error_count", "status_2xx", "status_3xx", "status_
 _RATIOS = ["error_rate", "explore_ratio", "path_concentration", "top_path_ratio", "redirect_rate", "depth_score", *[f"fanout_{d}" for d in DEFAULT.depths]]
 
 
-@query(oracle.sql([oracle.REQ, oracle.METRICS], f"SELECT entity_type, entity_value, w, {', '.join(_COUNTS)}, 0 AS unique_refs, {_rs(*_RATIOS)} FROM m"))
+@query(oracle.sql([oracle.REQ, oracle.METRICS], f"SELECT entity_type, entity_value, w, {', '.join(_COUNTS)}, unique_refs, {_rs(*_RATIOS)} FROM m"))
 def entity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select(*KEY, *_COUNTS, "unique_refs", *[_r(n) for n in _RATIOS])
 
 
-@query(oracle.sql([oracle.REQ], "SELECT entity_type, entity_value, w, 'GET' AS verb, count(*) AS n FROM ent GROUP BY ALL"))
+@query(oracle.sql([oracle.REQ], "SELECT entity_type, entity_value, w, verb, count(*) AS n FROM ent GROUP BY ALL"))
 def method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select(*KEY, F.explode("methods").alias("verb", "n"))
 
@@ -274,10 +320,16 @@ def error_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("error_count", "total_requests", F.round(mean, oracle.R).alias("mean"), _r("exceeds"))
 
 
-@query()
+@query(
+    oracle.sql(
+        [oracle.REQ, oracle.METRICS, oracle.TRAIN, oracle.POSTERIOR, oracle.QUANTILES],
+        "SELECT error_count, total_requests, round(any_value(exceeds), 6) AS exceeds, round(max((lo + hi) / 2) FILTER (side = 'low'), 6) AS low, round(max((lo + hi) / 2) FILTER (side = 'high'), 6) AS high FROM bq JOIN po USING (error_count, total_requests) WHERE bq.n = 40 GROUP BY ALL",
+    )
+)
 def error_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = materialise(baseline.baseline_row(detect.train(derived.requests(spark, sf_dir))), "baseline")
-    return baseline.posterior_table(_metrics(spark, sf_dir), base, interval=0.95)
+    rows = baseline.posterior_table(_metrics(spark, sf_dir), base, interval=0.95)
+    return rows.select("error_count", "total_requests", _r("exceeds"), _r("low"), _r("high"))
 
 
 # --- rates and persistence ---------------------------------------------------------------------
@@ -377,12 +429,52 @@ def decisions_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decision_columns(detect.detect(derived.requests(spark, sf_dir)))
 
 
-@query()
+@query(
+    oracle.sql(
+        [*_ALL, oracle.DECIDE, oracle.STREAKS, oracle.EXPLAINED],
+        "SELECT w, entity_type, entity_value, CASE WHEN reasons = '' THEN 'no significant anomalies' ELSE reasons END || CASE WHEN notes = '' THEN '' ELSE ' | Dampeners: ' || notes END AS explanation FROM ex", 50,
+    )
+)
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect.detect(derived.requests(spark, sf_dir), replace(DEFAULT, n_hammer_min=50))
     return rows.select("w", "entity_type", "entity_value", "explanation")
 
 
+@query(oracle.sql([oracle.PATH_REQ, *_ALL[1:], oracle.DECIDE, oracle.STREAKS], _DECIDED, 50))
+def path_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on paths and referrers, which are entities on request: a lower threshold and soft durations."""
+    return _decision_columns(detect.detect(derived.requests(spark, sf_dir), replace(DEFAULT, n_hammer_min=50), types=("path", "ref")))
+
+
+@query(
+    oracle.sql(
+        [*_ALL, oracle.DECIDE, oracle.STREAKS],
+        "SELECT row_number() OVER (ORDER BY w, CASE entity_type WHEN 'cidr' THEN 0 WHEN 'ip' THEN 1 ELSE 2 END, first_seen, entity_value) - 1 AS place, w, entity_type, entity_value FROM dc", 50,
+    )
+)
+def decision_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions in the order of a report, with their places in it."""
+    rows = report.in_order(detect.detect(derived.requests(spark, sf_dir), replace(DEFAULT, n_hammer_min=50))).select("w", "entity_type", "entity_value")
+    return report.with_places(rows)
+
+
+@query(
+    oracle.sql(
+        [*_ALL, oracle.DECIDE, oracle.STREAKS],
+        "SELECT strftime(t0 + (w + 1) * INTERVAL 300 SECOND, '%Y-%m-%d') AS day, entity_type, entity_value, w, round(score, 2) AS score, duration_sec, round(s_hammer, 6) AS s_hammer, round(d_volume, 6) AS volume, 'block' AS recommended_action FROM dc, span", 50,
+    )
+)
+def written_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions written as JSON lines by day and entity type, and read back from the files."""
+    path = f"{scratch_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    logs.write_decisions(detect.detect(derived.requests(spark, sf_dir), replace(DEFAULT, n_hammer_min=50)), path)
+    back = spark.read.json(path)
+    return back.select(
+        F.col("day").cast("string").alias("day"), "entity_type", "entity_value", "w", "score", F.col("duration_sec").cast("int").alias("duration_sec"), F.round("signals.hammering.score", oracle.R).alias("s_hammer"),
+        F.round("dampeners.volume", oracle.R).alias("volume"), "recommended_action",
+    )
+
+
 @query(
     oracle.sql(
         [*_ALL, oracle.DECIDE, oracle.STREAKS, "ts_ AS (SELECT entity_type, entity_value, max(score) AS max_score, avg(score) AS avg_score, count(*) AS num_windows, max(duration_sec) AS max_duration, min(w) AS first_w FROM dc GROUP BY ALL)", "tp AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY max_score DESC, first_w, entity_value) AS place FROM ts_)"],

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logwarden.sources.scratch import materialise
+
 
 def in_order(decisions: DataFrame) -> DataFrame:
     """By window, then networks, addresses and agents, then first appearance."""
@@ -12,6 +14,18 @@ def in_order(decisions: DataFrame) -> DataFrame:
     return decisions.orderBy("w", rank, "first_seen", "entity_value")
 
 
+def with_places(ordered: DataFrame) -> DataFrame:
+    """Add place, from 0 without gaps, to rows that an orderBy has range-sorted; no task sees another's rows.
+
+    Rows of each partition are counted, and the counts of those before it, one number a partition, give its start.
+    """
+    rows = materialise(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__at")) - 1
+    return rows.join(F.broadcast(starts), "__part").withColumn("place", (F.col("__start") + own).cast("long")).drop("__part", "__at", "__start")
+
+
 def top_offenders(decisions: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` entities of each type by best score, with the explanation of their first best window."""
     stats = decisions.groupBy("entity_type", "entity_value").agg(

@@ -20,17 +20,13 @@ STATUS = ("2xx", "3xx", "4xx", "5xx")
 
 
 def add_network(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
-    """Add cidr. IPv4 by expressions; networks of distinct IPv6 addresses are joined."""
-    ip = F.col("ip")
-    dim = network.ip_dimension(requests.filter(ip.contains(":")), v6_length=cfg.ipv6_prefix).select("raw", F.col("cidr").alias("__v6"))
-    v4 = F.when(network.is_ipv4(ip), network.ipv4_network(ip, cfg.ipv4_prefix)).otherwise(ip)
-    joined = requests.join(dim, F.when(ip.contains(":"), ip) == F.col("raw"), "left")
-    return joined.withColumn("cidr", F.coalesce("__v6", v4)).drop("raw", "__v6")
+    """Add cidr, by expressions."""
+    return requests.withColumn("cidr", network.network_of(F.col("ip"), cfg.ipv4_prefix, cfg.ipv6_prefix))
 
 
 def request_grain(windowed: DataFrame) -> DataFrame:
-    """Counts by window, address, network, agent, referrer, path, verb and status class."""
-    return windowed.groupBy("w", "window_start", "window_end", "ip", "cidr", "ua", "ref", "path", "verb", "status_class").agg(
+    """Counts by window, address, agent, referrer, path, verb and status class."""
+    return windowed.groupBy("w", "window_start", "window_end", "ip", "ua", "ref", "path", "verb", "status_class").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
     )
 
