@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.functions import scoring
 from logwarden.operators import baseline, entities, persistence, prefixes, rates, windows
-from logwarden.sources.scratch import materialise
+from logwarden.sources.scratch import broadcast_if_small, materialise
 
 KEY = entities.KEY
+#: Pairs of counts, and baselines of such rows, up to which a table is broadcast.
+FEW = 1_000_000
 
 
 def grain_of(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
@@ -23,14 +27,33 @@ def train(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     return baseline.baseline_table(baseline.metric_values(baseline.training_entities(windows.training_window(requests, cfg), cfg), cfg))
 
 
-def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = entities.TYPES) -> DataFrame:
-    """Per entity and window: metrics and every signal and dampener that needs no earlier decision."""
-    metrics = materialise(entities.entity_metrics(grain, cfg, types), "metrics")
+@dataclass(frozen=True)
+class Before:
+    """What earlier windows leave behind: recent windows of entities, clients and sums of prefixes, runs of decisions."""
+
+    recent: DataFrame
+    seen: DataFrame
+    totals: DataFrame
+    runs: DataFrame
+
+
+def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = entities.TYPES, before: Before | None = None) -> DataFrame:
+    """Per entity and window: metrics and every signal and dampener that needs no earlier decision.
+
+    grain: that of all windows, or of some later ones and what ``before`` holds of those before them.
+    """
+    paths = materialise(entities.path_grain(entities.by_entity(grain, types), cfg), "paths")
+    metrics = materialise(entities.entity_metrics(grain, cfg, types, paths=paths), "metrics")
     base = baseline.baseline_row(table, cfg)
     rows = metrics.join(F.broadcast(entities.window_totals(grain)), "w").join(F.broadcast(base))
-    rows = rows.join(baseline.posterior_table(metrics, base, cfg), ["error_count", "total_requests"])
-    burst = rates.rate_state(metrics, cfg).select(*KEY, "s_burst")
-    new = prefixes.new_content(entities.path_grain(entities.by_entity(grain, types), cfg), prefixes.prefix_state(grain, cfg), metrics, cfg)
+    # most entities share a few pairs of counts, such as no error in one request
+    rows = rows.join(broadcast_if_small(baseline.posterior_table(metrics, base, cfg), "posterior", FEW), ["error_count", "total_requests"])
+    counts = metrics.select(*KEY, "total_requests")
+    burst = rates.rate_state(counts if before is None else counts.unionByName(before.recent), cfg).select(*KEY, "s_burst")
+    clients, seen = prefixes.prefix_clients(grain, cfg), before.seen if before else None
+    per = prefixes.prefix_windows(clients, seen)
+    state = prefixes.running_state(per if before is None else per.unionByName(before.totals))
+    new = prefixes.new_content(paths, state, metrics, cfg)
     rows = rows.join(burst, KEY, "left").join(new, KEY, "left")
     n, top, share = F.col("total_requests"), F.col("top_path_ratio"), F.col("total_requests") / F.col("window_requests")
     z = lambda m: baseline.robust_z(F.col(m), F.col(f"median_{m}"), F.col(f"mad_{m}"))
@@ -56,14 +79,14 @@ def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT
     return rows.drop(*dropped)
 
 
-def score(signals: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
+def score(signals: DataFrame, cfg: DetectConfig = DEFAULT, runs: DataFrame | None = None) -> DataFrame:
     """Add streak, s_persist, score, consensus and decided; decisions feed back through streaks."""
     def verdict(k: int):
         persist = F.lit(20.0 * k)
         return scoring.consensus(cfg, persist) & (scoring.final_score(cfg, persist) >= scoring.threshold(F.col("entity_type"), cfg))
 
     rows = signals.withColumn("verdicts", F.array(*[verdict(k) for k in range(persistence.FULL + 1)]))
-    rows = persistence.feedback(rows).drop("verdicts")
+    rows = persistence.feedback(rows, before=runs).drop("verdicts")
     rows = rows.withColumn("s_persist", scoring.persistence_signal(F.col("streak")))
     return rows.withColumn("score", scoring.final_score(cfg)).withColumn("consensus", scoring.consensus(cfg))
 

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULT
 from logwarden.functions import network, parsing
-from logwarden.jobs import derived, detect, oracle, report
+from logwarden.jobs import derived, detect, oracle, replay, report
 from logwarden.operators import baseline, entities, persistence, prefixes, rates, windows
 from logwarden.sources import logs
 from logwarden.sources.scratch import materialise, scratch_dir
-from logwarden.streaming import detector as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -346,13 +345,15 @@ def rate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, "session", *[_r(n) for n in ("rate", "ewma", "std", "deviation", "p_tail", "s_burst")], "anomalous")
 
 
+_CUSUM = [
+    "cu AS (SELECT *, sum((rate - ewma) / greatest(std, 1e-6) - 2) OVER s AS p FROM re WINDOW s AS (PARTITION BY entity_type, entity_value, session ORDER BY w ROWS UNBOUNDED PRECEDING))",
+    "cv AS (SELECT *, p - least(0, min(p) OVER (PARTITION BY entity_type, entity_value, session ORDER BY w ROWS UNBOUNDED PRECEDING)) AS cusum FROM cu)",
+]
+
+
 @query(
     oracle.sql(
-        [
-            oracle.REQ, oracle.METRICS, oracle.RATES,
-            "cu AS (SELECT *, sum((rate - ewma) / greatest(std, 1e-6) - 2) OVER s AS p FROM re WINDOW s AS (PARTITION BY entity_type, entity_value, session ORDER BY w ROWS UNBOUNDED PRECEDING))",
-            "cv AS (SELECT *, p - least(0, min(p) OVER (PARTITION BY entity_type, entity_value, session ORDER BY w ROWS UNBOUNDED PRECEDING)) AS cusum FROM cu)",
-        ],
+        [oracle.REQ, oracle.METRICS, oracle.RATES, *_CUSUM],
         f"SELECT entity_type, entity_value, w, {_rs('cusum')}, cusum > 5 AS alert, round(least(100, 100 * cusum / 5), 6) AS cusum_score FROM cv",
     )
 )
@@ -492,27 +493,39 @@ def top_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.sql([oracle.REQ], "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, ip, count(*) AS n, count(*) FILTER (status >= 400) AS errors FROM r GROUP BY ALL"))
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.run_window_counts(derived.requests(spark, sf_dir))
+    return replay.run_window_counts(derived.requests(spark, sf_dir)).filter("ip is not null")
 
 
 @query(
     oracle.sql(
-        [oracle.REQ, "c AS (SELECT ip AS entity_value, CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts)) AS BIGINT) // 300 AS w, count(*) / 300 AS rate FROM r GROUP BY ALL)",
-         "c1 AS (SELECT *, row_number() OVER (PARTITION BY entity_value ORDER BY w) - 1 AS k, lag(w) OVER (PARTITION BY entity_value ORDER BY w) AS lw FROM c)",
-         "c2 AS (SELECT *, sum((w - lw > 12)::INT) OVER (PARTITION BY entity_value ORDER BY w) AS s FROM c1)",
-         "c3 AS (SELECT *, row_number() OVER (PARTITION BY entity_value, coalesce(s, 0) ORDER BY w) - 1 AS j FROM c2)"],
-        "SELECT entity_value, w, round(pow(0.7, j) * sum(CASE WHEN j = 0 THEN rate ELSE 0.3 * rate * pow(0.7, -j) END) OVER (PARTITION BY entity_value, coalesce(s, 0) ORDER BY w ROWS UNBOUNDED PRECEDING), 6) AS ewma, round(rate, 6) AS rate FROM c3",
+        [oracle.REQ, "l AS (SELECT *, CAST(epoch(ts) AS BIGINT) % 7 = 3 AS late, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start FROM r)", "e AS (SELECT max(ts) AS t FROM l WHERE NOT late)"],
+        "SELECT window_start, ip, count(*) AS n, count(*) FILTER (status >= 400) AS errors FROM l, e WHERE NOT late OR window_start + INTERVAL 5 MINUTE > t - INTERVAL 10 MINUTE GROUP BY ALL",
     )
-)
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the log comes last; of it only what the watermark has not passed counts."""
+    rows = derived.requests(spark, sf_dir).select("ts", "ip", "status")
+    late = F.unix_seconds("ts") % 7 == 3
+    return replay.run_late_rows(rows.filter(~late), rows.filter(late))
+
+
+@query(
+    oracle.sql(
+        [oracle.REQ, oracle.METRICS, oracle.RATES, *_CUSUM],
+        f"SELECT entity_type, entity_value, w, min(w) OVER (PARTITION BY entity_type, entity_value, session) AS session_start, {_rs('rate', 'ewma', 'std')}, round(abs(rate - ewma), 6) AS deviation, {_rs('cusum')}, cusum > 5 AS alert FROM cv",
+    )
+)
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.run_rates(derived.requests(spark, sf_dir)).select("entity_value", "w", _r("ewma"), _r("rate"))
+    """Rates of addresses and agents from keyed streaming state; the same as from the whole log."""
+    rows = replay.run_rates(derived.requests(spark, sf_dir))
+    return rows.select(*KEY, "session_start", *[_r(n) for n in ("rate", "ewma", "std", "deviation", "cusum")], "alert")
 
 
 @query(oracle.sql([*_ALL, oracle.DECIDE, oracle.STREAKS], _DECIDED, 50))
 def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detector fed window by window; the same decisions as from the whole log."""
+    """The detector fed part by part; the same decisions as from the whole log."""
     rows = derived.requests(spark, sf_dir)
-    return _decision_columns(streaming.run_detector(rows, replace(DEFAULT, n_hammer_min=50)))
+    return _decision_columns(replay.run_detector(rows, replace(DEFAULT, n_hammer_min=50)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

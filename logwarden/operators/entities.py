@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.functions import network, scoring
 from logwarden.functions.parsing import deepest_depth, prefix_at
+from logwarden.sources.scratch import materialise
 
 TYPES = ("ip", "ua", "cidr")
 KEY = ["entity_type", "entity_value", "w"]
@@ -52,15 +53,16 @@ def path_grain(entities: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     return out.withColumn("depth", deepest_depth(F.col("path"), cfg.depths))
 
 
-def entity_metrics(grain: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = TYPES, approximate: bool = False) -> DataFrame:
+def entity_metrics(grain: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = TYPES, approximate: bool = False, paths: DataFrame | None = None) -> DataFrame:
     """One row per entity and window; see FIXTURES.md for the columns.
 
     grain: see request_grain(). With ``approximate`` the distinct counts are HyperLogLog estimates,
-    for logs whose exact sets are too many to shuffle.
+    for logs whose exact sets are too many to shuffle. paths: path_grain() of these types, if it is
+    stored already.
     """
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     entities = by_entity(grain, types)
-    paths = path_grain(entities, cfg)
+    paths = materialise(path_grain(entities, cfg), "paths") if paths is None else paths
     own_prefixes = F.col("entity_type") != "cidr" if cfg.cidr_depth == "reference" else F.lit(True)
     fan = [distinct(F.when(own_prefixes, prefix_at(F.col("path"), d))).alias(f"uniq_prefix_{d}") for d in cfg.depths]
     sums = paths.groupBy(*KEY, "window_start", "window_end").agg(

@@ -38,24 +38,40 @@ def prefixes_at_depth(stats: DataFrame) -> DataFrame:
     return stats.groupBy("depth").agg(F.count(F.lit(1)).alias("n_prefixes"), F.sum("hits").alias("hits"))
 
 
-def prefix_state(grain: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
-    """(w, prefix): first sight, and distinct addresses and error rate so far, this window included.
-
-    An address counts in the window of its first hit on the prefix, so running sums over one row a
-    window give the distinct count.
-    """
+def prefix_clients(grain: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
+    """(prefix, ip, w): hits, errors and first sight of prefixes of the depth that new content is judged by."""
     rows = grain.withColumn("prefix", prefix_at(F.col("path"), cfg.new_depth)).filter(F.col("prefix").isNotNull())
-    clients = rows.groupBy("prefix", "ip", "w").agg(
+    return rows.groupBy("prefix", "ip", "w").agg(
         F.sum("n").alias("n"), F.sum(F.when(is_error(F.col("status_class")), F.col("n")).otherwise(0)).alias("errors"), F.min("first_seen").alias("ts")
     )
-    first = clients.groupBy("prefix", "ip").agg(F.min("w").alias("w")).groupBy("prefix", "w").agg(F.count(F.lit(1)).alias("new_ips"))
+
+
+def prefix_windows(clients: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(prefix, w, n, errors, ts, new_ips): an address is new in the window of its first hit on the prefix.
+
+    seen: (prefix, ip) pairs of earlier windows, if these are not the first.
+    """
+    first = clients.groupBy("prefix", "ip").agg(F.min("w").alias("w"))
+    if seen is not None:
+        first = first.join(seen, ["prefix", "ip"], "left_anti")
+    first = first.groupBy("prefix", "w").agg(F.count(F.lit(1)).alias("new_ips"))
     per = clients.groupBy("prefix", "w").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.min("ts").alias("ts")).join(first, ["prefix", "w"], "left")
+    return per.select("prefix", "w", "n", "errors", "ts", F.coalesce("new_ips", F.lit(0)).cast("long").alias("new_ips"))
+
+
+def running_state(per: DataFrame) -> DataFrame:
+    """(w, prefix): first sight, and distinct addresses and error rate up to each window of prefix_windows()."""
     so_far = Window.partitionBy("prefix").orderBy("w").rowsBetween(Window.unboundedPreceding, 0)
     return per.select(
-        "w", "prefix", F.min("ts").over(so_far).alias("tofs"), F.coalesce(F.sum("new_ips").over(so_far), F.lit(0)).alias("unique_ips"), F.sum("n").over(so_far).alias("hits"), (F.sum("errors").over(so_far) / F.sum("n").over(so_far)).alias("error_rate")
+        "w", "prefix", F.min("ts").over(so_far).alias("tofs"), F.sum("new_ips").over(so_far).alias("unique_ips"), F.sum("n").over(so_far).alias("hits"), (F.sum("errors").over(so_far) / F.sum("n").over(so_far)).alias("error_rate")
     )
 
 
+def prefix_state(grain: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
+    """running_state() of a whole log."""
+    return running_state(prefix_windows(prefix_clients(grain, cfg)))
+
+
 def new_content(paths: DataFrame, state: DataFrame, totals: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     """(entity_type, entity_value, w, d_new): 30 times the share of an entity's requests to new prefixes.
 

@@ -4,14 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a new temporary one where none is configured."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where none is configured a local session gets a new temporary one; on a cluster that would be a
+    folder of one machine, and is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -19,6 +32,45 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more; other frames are left alone."""
+    for frame in frames:
+        path = _paths.pop(frame, None)
+        if path:
+            delete(frame.sparkSession, path)
+
+
+@contextmanager
+def temporary_tables(*keep: str) -> Iterator[None]:
+    """Delete, at the end, the tables written inside, but for those whose name is in ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep:
+                delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append((spark, path))
+
+
+def broadcast_if_small(df: DataFrame, name: str, most_rows: int) -> DataFrame:
+    """Write a frame down; of up to ``most_rows`` rows, it is marked for broadcast, otherwise joins shuffle it."""
+    stored = materialise(df, name)
+    return F.broadcast(stored) if stored.count() <= most_rows else stored

@@ -1,28 +1,38 @@
-"""Structured Streaming: window counts, keyed rate state, and the detector on closed windows."""
+"""The detector on a stream: closed windows are scored on tables that hold what earlier windows left behind."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.jobs import detect
-from logwarden.operators import entities, windows
-from logwarden.sources.scratch import materialise, scratch_dir
-
-DELAY = "10 minutes"
-
-
-def window_counts(requests: DataFrame, delay: str = DELAY, window_sec: int = 300) -> DataFrame:
-    """(window_start, ip, n, errors) of tumbling windows; rows later than ``delay`` are dropped."""
-    rows = requests.withWatermark("ts", delay).groupBy(F.window("ts", f"{window_sec} seconds").alias("win"), "ip")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("status") >= 400).cast("long")).alias("errors")).select(F.col("win.start").alias("window_start"), "ip", "n", "errors")
+from logwarden.operators import entities, prefixes, rates
+from logwarden.sources.scratch import delete, materialise, temporary_tables
+from logwarden.streaming.rates import DELAY
+
+#: The state tables. ``seen`` is added to, batch by batch; of the others each batch writes a new version.
+STATE = {
+    "recent": "entity_type string, entity_value string, w long, total_requests long",
+    "seen": "prefix string, ip string",
+    "totals": "prefix string, w long, n long, errors long, ts timestamp, new_ips long",
+    "runs": "entity_type string, entity_value string, run long",
+}
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, as keyed state needs."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def grain_counts(requests: DataFrame, anchor_sec: int = 0, delay: str = DELAY, window_sec: int = 300) -> DataFrame:
@@ -32,54 +42,54 @@ def grain_counts(requests: DataFrame, anchor_sec: int = 0, delay: str = DELAY, w
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def rate_stream(requests: DataFrame, cfg: DetectConfig = DEFAULT, delay: str = DELAY) -> DataFrame:
-    """(entity_value, w, rate, ewma) of addresses, one row a closed window, from keyed state.
+def _version(spark: SparkSession, path: str, name: str, number: int) -> DataFrame:
+    """A state table as the batch before ``number`` left it; ``seen``: all that the batches before it added."""
+    if not number:
+        return spark.createDataFrame([], STATE[name])
+    if name == "seen":
+        return spark.read.schema(f"{STATE[name]}, batch long").parquet(f"{path}/seen").filter(F.col("batch") < number).drop("batch")
+    return spark.read.schema(STATE[name]).parquet(f"{path}/{name}/batch={number - 1}")
 
-    State holds the counts of windows that the watermark has not passed and the average so far. An
-    address that is idle for more than idle_windows starts anew.
+
+def _carry_on(before: detect.Before, grain: DataFrame, scored: DataFrame, cfg: DetectConfig) -> dict[str, DataFrame]:
+    """The state tables after the windows of ``grain``.
+
+    ``recent`` keeps, of entities that a pruning would still find, the rows that averages reach back
+    to; ``runs`` those entities whose last window was decided.
     """
-    sec, alpha, idle = cfg.window_sec, cfg.ewma_alpha, cfg.idle_windows
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"open": {}, "ewma": None, "last": None}
-        for frame in frames:
-            for w, n in frame.groupby("w").size().items():
-                held["open"][str(w)] = held["open"].get(str(w), 0) + int(n)
-        mark = state.getCurrentWatermarkMs() / 1000
-        out = []
-        for w in sorted(map(int, held["open"])):
-            if (w + 1) * sec > mark:
-                break
-            rate = held["open"].pop(str(w)) / sec
-            fresh = held["ewma"] is None or w - held["last"] > idle
-            held["ewma"] = rate if fresh else alpha * rate + (1 - alpha) * held["ewma"]
-            held["last"] = w
-            out.append((key[0], w, rate, held["ewma"]))
-        ends = [(int(w) + 1) * sec for w in held["open"]]
-        end = min(ends) if ends else (held["last"] + idle + 2) * sec
-        if not ends and state.hasTimedOut and end <= mark:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(int(max(end, mark + 1) * 1000))
-        if out:
-            yield pd.DataFrame(out, columns=["entity_value", "w", "rate", "ewma"])
-
-    rows = requests.withWatermark("ts", delay).select("ts", F.col("ip").alias("entity_value"), F.floor(F.unix_seconds("ts") / sec).cast("long").alias("w"))
-    return rows.groupBy("entity_value").applyInPandasWithState(update, "entity_value string, w long, rate double, ewma double", "held string", "append", "EventTimeTimeout")
-
-
-def score_closed_windows(history: DataFrame, table: DataFrame, done_before: int, cfg: DetectConfig = DEFAULT) -> DataFrame:
-    """Decisions of windows from ``done_before`` on, given the grain of all closed windows."""
-    return detect.decisions(detect.score(detect.base_signals(history, table, cfg), cfg)).filter(F.col("w") >= done_before)
+    key, n = list(rates.KEY), cfg.idle_windows
+    own = Window.partitionBy(*key).orderBy(F.col("w").desc())
+    latest = scored.agg(F.max("w").alias("latest"))
+    counts = scored.filter(F.col("entity_type").isin("ip", "ua")).select(*key, "w", "total_requests").unionByName(before.recent)
+    counts = counts.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= rates.FRAME)
+    counts = counts.withColumn("__last", F.max("w").over(Window.partitionBy(*key))).join(F.broadcast(latest)).filter(F.coalesce(F.col("__last") + 2 * n + 1 > F.col("latest"), F.lit(True)))
+    clients = prefixes.prefix_clients(grain, cfg)
+    per = prefixes.prefix_windows(clients, before.seen).unionByName(before.totals)
+    totals = per.groupBy("prefix").agg(F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.min("ts").alias("ts"), F.sum("new_ips").alias("new_ips"))
+    last = scored.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*key, F.when(F.col("decided"), F.col("streak") + 1).otherwise(0).cast("long").alias("run"))
+    runs = last.unionByName(before.runs.join(last, key, "left_anti")).filter("run > 0")
+    return {
+        "recent": counts.select(*key, "w", "total_requests"), "totals": totals, "runs": runs,
+        "seen": clients.select("prefix", "ip").distinct().join(before.seen, ["prefix", "ip"], "left_anti"),
+    }
+
+
+def _store(spark: SparkSession, path: str, number: int, after: dict[str, DataFrame]) -> None:
+    for name, table in after.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        if number > 1 and name != "seen":
+            delete(spark, f"{path}/{name}/batch={number - 2}")
 
 
 def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str, cfg: DetectConfig = DEFAULT, delay: str = DELAY):
     """Start the streaming detector; returns the query.
 
-    Every batch stores the grain of the windows that closed, under its batch number, so a repeated
-    batch replaces its own output; then it scores those windows on the stored history. Decisions are
-    stored the same way. Folders: path/grain, path/decisions, path/state.
+    A batch takes the windows that closed, as counts, and scores them on the state tables of the
+    batch before: at most FRAME windows of every entity not yet idle, the sums of every prefix and
+    its known clients, and runs of decisions. No request or count is read twice. Decisions and state
+    are stored under the batch's number, so a repeated batch replaces its own output; versions older
+    than the batch before are deleted. Folders: path/decisions, path/seen, path/recent, path/totals,
+    path/runs, path/state.
     """
     sec = cfg.window_sec
 
@@ -87,81 +97,16 @@ def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str,
         spark = batch.sparkSession
         start, end = F.col("win.start"), F.col("win.end")
         rows = batch.withColumns({"window_start": start, "window_end": end, "w": F.round((F.unix_micros(start) / 1e6 - t0) / sec).cast("long")}).drop("win")
-        entities.add_network(rows, cfg).write.mode("overwrite").parquet(f"{path}/grain/batch={number}")
-        new = spark.read.parquet(f"{path}/grain/batch={number}")
-        first = new.agg(F.min("w")).first()[0]
-        if first is not None:
-            history = spark.read.parquet(f"{path}/grain").filter(F.col("batch") <= number).drop("batch")
-            score_closed_windows(history, table, first, cfg).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+        with temporary_tables():
+            grain = materialise(entities.add_network(rows, cfg), "grain")
+            before = detect.Before(**{name: _version(spark, path, name, number) for name in STATE})
+            if grain.isEmpty():
+                # no window closed: the state stays as it is
+                _store(spark, path, number, {n: spark.createDataFrame([], STATE[n]) if n == "seen" else getattr(before, n) for n in STATE})
+                return
+            scored = materialise(detect.score(detect.base_signals(grain, table, cfg, before=before), cfg, before.runs), "scored")
+            detect.decisions(scored).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+            _store(spark, path, number, _carry_on(before, grain, scored, cfg))
 
     counts = grain_counts(requests, int(t0) % sec, delay, sec)
     return counts.writeStream.foreachBatch(closed).outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-
-
-# --- replay of a stored log, as a stream ---------------------------------------------------------
-
-
-def replay(requests: DataFrame, batches: int = 3) -> tuple[str, T.StructType]:
-    """Store a log in folders by time, one written after the other, for a file source to read in turn.
-
-    The last holds one record a day later that has no client: it moves the watermark on, so that all
-    real windows close.
-    """
-    spark = requests.sparkSession
-    path = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    t0, t_max = windows.bounds(requests).select(F.unix_micros("t0"), F.unix_micros("t_max")).first()
-    if t0 is None:
-        requests.coalesce(1).write.parquet(f"{path}/batch=0")
-        return path, requests.schema
-    for k in range(batches):
-        low, high = t0 + (t_max - t0) * k // batches, t0 + (t_max - t0) * (k + 1) // batches
-        at = F.unix_micros("ts")
-        requests.filter((at >= low) & ((at < high) if k + 1 < batches else F.lit(True))).coalesce(1).write.parquet(f"{path}/batch={k}")
-    types = {f.name: f.dataType for f in requests.schema.fields}
-    last = spark.range(1).select(*[(F.timestamp_micros(F.lit(t_max + 86_400_000_000)) if n == "ts" else F.lit(None).cast(t)).alias(n) for n, t in types.items()])
-    last.write.parquet(f"{path}/batch={batches}")
-    return path, requests.schema
-
-
-def stream_of(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch=*")
-
-
-def _to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    out = f"{scratch_dir(spark)}/stream-out-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
-
-
-def run_window_counts(requests: DataFrame) -> DataFrame:
-    """window_counts() of a stored log, replayed as a stream."""
-    path, schema = replay(requests)
-    return _to_table(window_counts(stream_of(requests.sparkSession, path, schema)), requests.sparkSession)
-
-
-def run_rates(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
-    """rate_stream() of a stored log, replayed as a stream."""
-    spark = requests.sparkSession
-    path, schema = replay(requests.select("ts", "ip"))
-    stream = rate_stream(stream_of(spark, path, schema), cfg)
-    out = f"{scratch_dir(spark)}/stream-out-{uuid.uuid4().hex}"
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-
-    stream.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows").drop("batch").filter("entity_value is not null")
-
-
-def run_detector(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
-    """The streaming detector over a stored log; a baseline is trained on its first hour beforehand."""
-    spark = requests.sparkSession
-    needed = requests.select("ts", "ip", "ua", "ref", "path", "verb", "status", "status_class")
-    table = materialise(detect.train(needed, cfg), "baseline")
-    t0 = windows.bounds(needed).select(F.unix_micros("t0")).first()[0]
-    # as in a batch, a record that lies at the end of the log on a window's edge has no window
-    inside = windows.assign_windows(needed, cfg=cfg).select(*needed.columns)
-    path, schema = replay(inside, 2)
-    out = f"{scratch_dir(spark)}/stream-out-{uuid.uuid4().hex}"
-    start_detector(stream_of(spark, path, schema), table, t0 / 1e6, out, cfg).awaitTermination()
-    return spark.read.parquet(f"{out}/decisions").drop("batch")

@@ -8,10 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logwarden.config import DetectConfig
-from logwarden.jobs import detect, report
-from logwarden.operators import entities, prefixes, windows
+from logwarden.jobs import detect, replay, report
+from logwarden.operators import entities, prefixes, rates, windows
 from logwarden.sources import logs
-from logwarden.streaming import detector as streaming
 
 T0 = dt.datetime(2025, 9, 25, 19)
 SCHEMA = "ts timestamp, ip string, ua string, ref string, path string, verb string, status int, status_class string"
@@ -110,12 +109,28 @@ def test_write_decisions(spark, tmp_path):
 def test_streaming_equals_batch(spark):
     cfg = DetectConfig(n_hammer_min=50, new_min_ips=10_000)
     key = lambda f: sorted((r["w"], r["entity_type"], r["entity_value"], round(r["score"], 8), r["streak"]) for r in f.collect())
-    assert key(streaming.run_detector(bot_log(spark), cfg)) == key(detect.detect(bot_log(spark), cfg))
+    assert key(replay.run_detector(bot_log(spark), cfg)) == key(detect.detect(bot_log(spark), cfg))
 
 
 def test_late_rows_are_dropped(spark):
-    early, late = log(spark, [(0, "1.1.1.1", None, "/", 200), (7200, "1.1.1.1", None, "/", 200)]), log(spark, [(10, "2.2.2.2", None, "/", 200)])
-    path, schema = streaming.replay(early.select("ts", "ip", "status"), batches=1)
-    late.select("ts", "ip", "status").coalesce(1).write.parquet(f"{path}/batch=9")
-    got = streaming._to_table(streaming.window_counts(streaming.stream_of(spark, path, schema)), spark)
-    assert {r["ip"] for r in got.collect()} == {"1.1.1.1"}
+    early, late = log(spark, [(0, "1.1.1.1", None, "/", 200), (7200, "1.1.1.1", None, "/", 200)]), log(spark, [(10, "2.2.2.2", None, "/", 200), (7100, "3.3.3.3", None, "/", 200)])
+    got = replay.run_late_rows(early.select("ts", "ip", "status"), late.select("ts", "ip", "status"))
+    assert {r["ip"] for r in got.collect()} == {"1.1.1.1", "3.3.3.3"}
+
+
+def test_streamed_rates_start_anew_after_a_pause(spark):
+    rows = [(300 * w + k, "1.1.1.1", "ua" if w < 3 else None, "/", 200) for w in (0, 1, 2, 14, 40, 41) for k in range(1 + 7 * (w % 3))]
+    frame = log(spark, [*rows, (300 * 42, "9.9.9.9", None, "/", 200)])
+    got = {(r["entity_value"], r["w"]): r for r in replay.run_rates(frame).collect()}
+    state = rates.cusum(rates.rate_state(entities.entity_metrics(detect.grain_of(frame)))).collect()
+    assert {(r["entity_value"], r["w"]) for r in state} == set(got)
+    for r in state:
+        own = got[r["entity_value"], r["w"]]
+        assert [own[c] for c in ("rate", "ewma", "std", "cusum")] == pytest.approx([r[c] for c in ("rate", "ewma", "std", "cusum")])
+    assert got["1.1.1.1", 14]["session_start"] == 0 and got["1.1.1.1", 41]["session_start"] == 40
+
+
+def test_parse_is_not_repeated(spark):
+    lines = spark.createDataFrame([("x",)], "value string")
+    plan = logs.requests(logs.parse_lines(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3 and plan.count("Join") == 0 and "PythonUDF" not in plan
