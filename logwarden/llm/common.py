@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logwarden.sources.scratch import materialise, scratch_dir
+from logwarden.sources.scratch import broadcast_if_small, materialise, release, scratch_dir
 
-__all__ = ["ROW", "keep_rows", "leading_bits", "lower_ascii", "materialise", "null_safe", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits", "with_rows"]
+__all__ = ["FEW_KEYS", "ROW", "broadcast_if_small", "keep_rows", "leading_bits", "lower_ascii", "materialise", "null_safe", "release", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits", "with_rows"]
 #: What separates words, as a Java regular expression of the words themselves.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one task numbers or sums in order; more rows make more units.
 UNIT_ROWS = 20_000
+#: So many keys, some tens of megabytes, are broadcast; more are joined by a shuffle.
+FEW_KEYS = 2_000_000
 #: A row's key, where rows and not ids are decided on.
 ROW = "__row"
 
@@ -47,11 +49,13 @@ def with_rows(df: DataFrame) -> DataFrame:
 def keep_rows(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
     """Of the rows of each group the one of least ``best``, whatever ids rows share; the keys go.
 
-    rows: with_rows(); groups: (ROW, group), one row each. Only keys and ids meet in groups.
+    rows: with_rows(); groups: (ROW, group), one row each. Only keys and ids meet in groups. Of up
+    to FEW_KEYS rows that go the keys are broadcast, and no text moves; beyond that the rows are
+    joined by their keys.
     """
     known = materialise(groups.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "group", "doc_id"), "row-groups")
     stays = known.groupBy("group").agg(F.min(F.struct(best, F.col(ROW)))[ROW].alias(ROW))
-    gone = known.select(ROW).join(stays, ROW, "left_anti")
+    gone = broadcast_if_small(known.select(ROW).join(stays, ROW, "left_anti"), "rows-gone", FEW_KEYS)
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import materialise
+from logwarden.llm.common import materialise, release
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
     Links are undirected; nulls and self-links are ignored. Each round is a few joins on the node,
     whose hot side adaptive execution can split; rounds grow with the logarithm of the longest
-    path. Every round is written to the shared folder, so nothing is kept on one executor.
+    path. Every round is written to the shared folder, so nothing is kept on one executor, and the
+    round before it is deleted.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = materialise(links.filter(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u > v").distinct(), "links")
@@ -37,7 +38,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        edges = materialise(_star(_star(edges, small=False), small=True), "links")
+        before, edges = edges, materialise(_star(_star(edges, small=False), small=True), "links")
+        release(before)
         now = print_of(edges)
         if now == seen:
             break

@@ -139,7 +139,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """Of the rows of equal texts the one with the largest doc_id, with all its columns.
 
     One row stays of each text: rows that repeat a doc_id count singly, and a row with a null doc_id
-    stays only where the text has no other. Keys of the rows that go, far fewer, are what moves.
+    stays only where the text has no other. See keep_rows() for what moves.
     """
     rows = with_rows(docs)
     groups = exact_dedup(rows.select(F.col(ROW).alias("doc_id"), "text")).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import WORD_PATTERN, leading_bits, materialise, null_safe, running_sums, unit_bits
+from logwarden.llm.common import FEW_KEYS, WORD_PATTERN, broadcast_if_small, leading_bits, materialise, null_safe, running_sums, unit_bits
 
 Schedule = list[tuple[float, float]]
 #: Weights 1, 2 and 3: falling, level and rising over the run.
@@ -67,24 +67,13 @@ def source_targets(sizes: DataFrame, schedules: list[Schedule], most_uses: int)
     return flagged.withColumn("target", target).select("source", "source_size", "schedule", "target")
 
 
-def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses: int = 3, seed: int = 11) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, uses, positions, first_position.
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
-    Size is the number of words. ``uses`` says how often the mix takes the document, ``taken`` is
-    uses times size, ``positions`` holds a training time (0 to 1) for each use. A source's uses go
-    in hash order; after the last whole document that fits its target one more is used where that
-    comes nearer to it, the one whose size is nearest to what is missing. Rows come sorted by first
-    position (a range sort), unused ones last.
 
-    Sources go by code point, null last, and take the schedules in turn. A null text has size 0; a
-    document without words is used zero words' worth: its taken is 0 and it takes the uses of its
-    place. Repeated rows are documents of their own. An empty table gives an empty result. Other
-    columns of ``docs`` are ignored.
-    """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    base = materialise(
-        docs.select("doc_id", "source", size.alias("size")).withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))), "mix-sizes"
-    )
+def _used(docs: DataFrame, schedules: list[Schedule], most_uses: int, seed: int) -> DataFrame:
+    """Documents with their places in their source's order and how often they are used; see mix()."""
+    base = materialise(docs.select("doc_id", "source", word_count().alias("size")).withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))), "mix-sizes")
     targets = materialise(source_targets(base, schedules, most_uses), "mix-targets")
     unit, order = leading_bits(F.col("h"), unit_bits(base.count())), [F.col("h"), F.col("doc_id"), F.col("size")]
     placed = running_sums(base, ["source"], unit, order, {"start": F.col("size")})
@@ -106,7 +95,24 @@ def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses: int =
     extra = offered.groupBy("source").agg(F.min(nearest)["start"].alias("extra_start"))
     used = null_safe(placed, extra, ["source"], "left")
     is_extra = F.coalesce(~F.col("fits") & ~F.col("fills") & (F.col("size") > 0) & (F.col("start") == F.col("extra_start")), F.lit(False))
-    used = used.withColumn("uses", F.col("full") + F.when(F.col("fits") | F.col("fills") | is_extra, 1).otherwise(0))
+    return used.withColumn("late", F.col("fills") | is_extra).withColumn("uses", F.col("full") + F.when(F.col("fits") | F.col("late"), 1).otherwise(0))
+
+
+def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses: int = 3, seed: int = 11) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, uses, positions, first_position.
+
+    Size is the number of words. ``uses`` says how often the mix takes the document, ``taken`` is
+    uses times size, ``positions`` holds a training time (0 to 1) for each use. A source's uses go
+    in hash order; after the last whole document that fits its target one more is used where that
+    comes nearer to it, the one whose size is nearest to what is missing. Rows come sorted by first
+    position (a range sort), unused ones last.
+
+    Sources go by code point, null last, and take the schedules in turn. A null text has size 0; a
+    document without words is used zero words' worth: its taken is 0 and it takes the uses of its
+    place. Repeated rows are documents of their own. An empty table gives an empty result. Other
+    columns of ``docs`` are ignored.
+    """
+    used = _used(docs, schedules, most_uses, seed)
     # where the document's words stand in its last use, among the source's words of that round
     last_start = F.when(F.col("fits"), F.col("start")).when(F.col("fills"), F.col("rest") - F.col("left_fits") + F.col("start_more")).otherwise(F.col("rest") - F.col("left_fills"))
     middle = lambda k: F.least((k * F.col("source_size") + F.when(k == F.col("full"), last_start).otherwise(F.col("start")) + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
@@ -129,11 +135,21 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", F.posexplode("positions").alias("use", "position")).orderBy("position", "doc_id", "use")
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses: int = 3, seed: int = 11) -> DataFrame:
     """The documents that the mix takes, each repeated as often as it is used, with the columns of ``docs``.
 
-    Rows that share a doc_id are taken as often as the one of them that is used most.
+    A source's uses are told by one row: the whole rounds, and the place in the order of the hash up
+    to which its documents are used once more. The few taken behind that place are listed. Both
+    meet the documents where these are read, by broadcast while they are small; then no text moves.
+    Rows that share source, doc_id and size are taken as often as the one of them that is used most.
     """
-    uses = mix(docs, **options).groupBy("doc_id").agg(F.max("uses").alias("__uses")).filter("__uses > 0")
-    repeated = null_safe(docs, uses, ["doc_id"])
-    return repeated.withColumn("__uses", F.explode(F.sequence(F.lit(1), F.col("__uses")))).drop("__uses")
+    used = materialise(_used(docs, schedules, most_uses, seed).select("source", "h", "doc_id", "size", "full", "fits", "late"), "mix-uses")
+    place = F.struct("h", "doc_id", "size")
+    rules = used.groupBy(F.col("source").alias("__source")).agg(F.max("full").alias("__full"), F.max(F.when(F.col("fits"), place)).alias("__cut"))
+    late = used.filter("late").select(F.col("source").alias("__late_source"), place.alias("__late_place"), F.lit(1).alias("__late")).distinct()
+    rows = docs.withColumn("__size", word_count()).withColumn("__place", F.struct(F.xxhash64("doc_id", "__size", F.lit(seed)).alias("h"), "doc_id", F.col("__size").alias("size")))
+    met = rows.join(broadcast_if_small(rules, "mix-rules", FEW_KEYS // 4), F.col("source").eqNullSafe(F.col("__source")))
+    met = met.join(broadcast_if_small(late, "mix-late", FEW_KEYS // 4), F.col("source").eqNullSafe(F.col("__late_source")) & F.col("__place").eqNullSafe(F.col("__late_place")), "left")
+    once_more = F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False)) | F.col("__late").isNotNull()
+    uses = F.col("__full") + F.when(once_more, 1).otherwise(0)
+    return met.withColumn("__uses", uses).filter("__uses > 0").withColumn("__uses", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses").cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])
