@@ -4,8 +4,10 @@ Unit vectors with cosine >= c lie within eps = sqrt(2 - 2c) of each other, and s
 projections on any orthonormal axes. Vectors are sorted by the cells, eps wide, that they fall into
 on the leading principal axes; the sequence is cut into blocks with bounding boxes. Intervals of
 blocks are joined from the top down, and a pair of intervals whose boxes are more than eps apart is
-left out with all below it. What remains are pairs of blocks, joined inside tasks by the same
-recursion down to small dense products in double precision.
+left out with all below it. Boxes have one more dimension, the length of what the axes leave of a
+vector: two such lengths differ by no more than the vectors do. What remains are pairs of blocks; a
+task takes the pairs of two runs of blocks, so a block travels once a run, not once a pair, and
+joins them by the same recursion down to small dense products in double precision.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import materialise, running_sums
 from logwarden.llm.components import components
 
-AXES, BLOCK, LEAF, FANOUT, TOP, BUNDLE = 8, 1024, 64, 8, 16, 4
+AXES, BLOCK, LEAF, FANOUT, TOP = 8, 1024, 64, 8, 16
+#: Most blocks of a run, and bytes of one.
+RUN, RUN_BYTES = 16, 16 << 20
 #: Added to eps: rounding must not hide a pair.
-SLACK = 1e-9
+SLACK = 1e-7
 
 
 def unit_rows(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -67,8 +71,14 @@ def apart(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray
     return float((gap * gap).sum())
 
 
+def places(units: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Projections on the axes, and last the length of what they leave; distances between rows are lower bounds of those of the vectors."""
+    on = units @ axes
+    return np.column_stack([on, np.sqrt(np.maximum(0.0, 1.0 - (on * on).sum(axis=1)))])
+
+
 class Interval:
-    """A run of a block's vectors with the box of their projections; halves are made when asked for."""
+    """A run of a block's vectors with the box of their places; halves are made when asked for."""
 
     __slots__ = ("end", "hi", "lo", "of", "start")
 
@@ -88,7 +98,7 @@ class Block:
     __slots__ = ("places", "units")
 
     def __init__(self, units: np.ndarray, axes: np.ndarray) -> None:
-        self.units, self.places = units, units @ axes
+        self.units, self.places = units, places(units, axes)
 
 
 def ego_join(a: Interval, b: Interval, eps: float, cosine: float, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -169,9 +179,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int =
 
         def block(frame: pd.DataFrame) -> pd.DataFrame:
             x = unit_rows(frame["embedding"], dims)
-            p = x @ axes
+            p = places(x, axes)
             out = {"part": part, "no": count, "reps": [frame["rep"].fillna(-(1 << 63)).astype("int64").tolist()], "copies": [frame["copies"].tolist()], "vectors": x.tobytes()}
-            return pd.DataFrame(out | {f"lo{n}": p[:, n].min() for n in range(k)} | {f"hi{n}": p[:, n].max() for n in range(k)})
+            return pd.DataFrame(out | {f"lo{n}": p[:, n].min() for n in range(k + 1)} | {f"hi{n}": p[:, n].max() for n in range(k + 1)})
 
         for frame in frames:
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -181,58 +191,51 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int =
         if held is not None and len(held):
             yield block(held)
 
-    boxes = [f"{s}{n}" for n in range(k) for s in ("lo", "hi")]
+    boxes = [f"{s}{n}" for n in range(k + 1) for s in ("lo", "hi")]
     blocks = grid.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
         to_blocks, "part int, no long, reps array<long>, copies array<long>, vectors binary, " + ", ".join(f"{c} double" for c in boxes)
     )
     blocks = materialise(blocks, "blocks")
     seq = running_sums(blocks.select("part", "no", *boxes), [], F.col("part"), [F.col("no")], {"seq": F.lit(1)})
     seq = materialise(seq.withColumn("seq", F.col("seq").cast("long")), "block-boxes")
-    pairs = _block_pairs(seq, k, eps)
+    pairs = _block_pairs(seq, k + 1, eps)
 
-    # a bundle: one block with a few of its partners, so that a task holds BUNDLE + 1 blocks
-    bundled = materialise(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / BUNDLE))).alias("sub")), "block-pairs")
-    needs = bundled.select("a", "sub", F.col("b").alias("seq"), F.lit(False).alias("own")).unionByName(
-        bundled.select("a", "sub").distinct().select("a", "sub", F.col("a").alias("seq"), F.lit(True).alias("own"))
-    )
+    # a task: two runs of blocks that follow each other in grid order, or one run with itself
+    run = max(1, min(RUN, RUN_BYTES // (8 * dims * block_rows)))
+    of = lambda c: F.floor(F.col(c) / run).cast("long").alias(f"run_{c}")
+    needs = pairs.select(of("a"), of("b"), F.explode(F.array("a", "b")).alias("seq")).distinct()
     data = seq.select("part", "no", "seq").join(blocks.select("part", "no", "reps", "copies", "vectors"), ["part", "no"]).drop("part", "no")
     tasks = needs.join(data, "seq")
 
-    def join_bundle(table: pa.Table) -> pa.Table:
-        own = [x for x in table.to_pylist() if x["own"]][0]
-        load = lambda x: Block(np.frombuffer(x["vectors"]).reshape(-1, dims), axes)
-        a = load(own)
-        a_reps, a_copies = np.array(own["reps"]), np.array(own["copies"])
-        node, count, mate = [], [], []
-        for other in (x for x in table.to_pylist() if not x["own"]):
-            same = other["seq"] == own["seq"]
-            b = a if same else load(other)
-            b_reps, b_copies = np.array(other["reps"]), np.array(other["copies"])
+    def join_runs(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda x: x["seq"])
+        blocks = [Block(np.frombuffer(x["vectors"]).reshape(-1, dims), axes) for x in rows]
+        reps, copies = (np.concatenate([np.array(x[c]) for x in rows]) for c in ("reps", "copies"))
+        starts = np.cumsum([0, *(len(b.units) for b in blocks)])
+        left = [n for n, x in enumerate(rows) if x["seq"] // run == x["run_a"]]
+        right = [n for n, x in enumerate(rows) if x["seq"] // run == x["run_b"]]
+        tops = [Interval(b, 0, len(b.units)) for b in blocks]
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m, n in ((m, n) for m in left for n in right if m <= n):
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            ego_join(Interval(a, 0, len(a_reps)), Interval(b, 0, len(b_reps)), eps, cosine, found)
-            if not found:
-                continue
-            i, j = (np.concatenate([x[n] for x in found]) for n in (0, 1))
-            n = len(a_reps)
-            reps, copies = (a_reps, a_copies) if same else (np.concatenate([a_reps, b_reps]), np.concatenate([a_copies, b_copies]))
-            j = j if same else j + n
-            links = np.bincount(i, copies[j], len(reps)) + np.bincount(j, copies[i], len(reps))
-            root = roots_of(len(reps), i, j)
-            hit = np.flatnonzero(links)
-            node.append(reps[hit])
-            count.append(links[hit].astype(np.int64))
-            mate.append(reps[root[hit]])
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"rep": cat(node), "links": cat(count), "mate": cat(mate)})
-
-    linked = materialise(tasks.groupBy("a", "sub").applyInArrow(join_bundle, "rep long, links long, mate long"), "vector-links")
+            ego_join(tops[m], tops[n], eps, cosine, found)
+            i += [x + starts[m] for x, _ in found]
+            j += [x + starts[n] for _, x in found]
+        i, j = np.concatenate(i), np.concatenate(j)
+        links = np.bincount(i, copies[j], len(reps)) + np.bincount(j, copies[i], len(reps))
+        root, hit = roots_of(len(reps), i, j), np.flatnonzero(links)
+        return pa.table({"rep": pa.array(reps[hit], pa.int64()), "links": pa.array(links[hit].astype(np.int64)), "mate": pa.array(reps[root[hit]], pa.int64())})
+
+    linked = materialise(tasks.groupBy("run_a", "run_b").applyInArrow(join_runs, "rep long, links long, mate long"), "vector-links")
     none = F.lit(-(1 << 63))
     linked = linked.select(*[F.when(F.col(c) != none, F.col(c)).alias(c) for c in ("rep", "mate")], "links")
     joined = components(linked, "rep", "mate")
     totals = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     merged = groups.select("embedding", "rep", "copies").join(totals, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     merged = merged.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.withColumn("__ok", good).select("vec_id", F.when(F.col("__ok"), F.col("embedding")).alias("embedding")).join(merged, "embedding", "left")
+    # rows without a valid vector meet nothing
+    out = valid.join(merged, "embedding", "left").select("vec_id", "n_links", "component_id")
+    out = out.unionByName(rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
