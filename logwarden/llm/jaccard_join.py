@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import materialise, text_blocks
+from logwarden.llm.common import ROW, leading_bits, materialise, running_sums, text_blocks, unit_bits, with_rows
 from logwarden.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -218,8 +218,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join what sets of ``left`` (with ``right``, or among themselves) link, as a forest."""
+def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links of sets of ``left`` (with ``right``, or among themselves): all, or as a forest that joins the same."""
     own = {int(n): planes_of(sets[n]) for n in (left if right is None else np.concatenate([left, right]))}
     planes = np.zeros((len(sets), PLANE), np.result_type(np.uint8, *{p.dtype for p in own.values()}))
     for n, p in own.items():
@@ -253,7 +253,10 @@ def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | Non
         fits = may_link(bound, sizes[i][:, None], sizes[i][:, None], sizes[j][None, :], sizes[j][None, :], percent)
         for p, q in zip(*np.nonzero(fits), strict=True):
             u, v = int(i[p]), int(j[q])
-            if (x is y and u >= v) or (ru := root(u)) == (rv := root(v)):
+            if x is y and u >= v:
+                continue
+            ru, rv = root(u), root(v)
+            if ru == rv and not every:
                 continue
             both = common(sets[u], sets[v])
             if 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both):
@@ -262,7 +265,7 @@ def tree_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | Non
     return links
 
 
-def _join_groups(percent: int):
+def _join_groups(percent: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("comp", "ascending"), ("low", "ascending"), ("doc_id", "ascending")])
         ids = table.column("doc_id").to_numpy()
@@ -280,7 +283,7 @@ def _join_groups(percent: int):
                 pairs = [(own, rows[part[rows] == y[rows]])]
             for left, right in pairs:
                 if len(left) and (right is None or len(right)):
-                    out += tree_links(sets, left, right, percent)
+                    out += tree_links(sets, left, right, percent, every)
         u, v = (np.array([ids[p[k]] for p in out], np.int64) for k in (0, 1))
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
@@ -288,18 +291,60 @@ def _join_groups(percent: int):
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per doc_id: doc_id, n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of distinct
     shingles of ``words`` words, A-Z lower-cased. A text with fewer words is one shingle; without
     words, or null, its set is empty, and it links with nothing. component_id is the smallest doc_id
     reachable over links, the document's own included. Equal sets meet once, as one class.
 
-    Rows that repeat a doc_id are one document, of which the text with the most shingles counts.
-    Rows with a null doc_id are one row of the result, link with nothing and keep a null component.
-    An empty table gives an empty result. Other columns are ignored.
+    Rows that repeat a doc_id are documents of their own, and so are rows without one; these link
+    like others, and where nothing with an id is reached, component_id is null. An empty table gives
+    an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if rows.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").isEmpty():
+        return join_rows(rows, words, percent)
+    # ids that are no keys: rows are joined by keys of their own
+    keyed = with_rows(rows)
+    joined = materialise(join_rows(keyed.select(F.col(ROW).alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", ROW).join(keyed.select(ROW, "doc_id"), ROW), "joined-rows")
+    least = joined.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    met = joined.join(least.withColumn("known", F.lit(True)), "component_id", "left")
+    return met.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def join_rows(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """jaccard_join() of rows (doc_id, text) whose ids are distinct and not null."""
+    stats, classes, links = _classes_and_links(rows, words, percent, every=False)
+    joined = components(links.select("u", "v").unionByName(_members(stats, classes)), "u", "v")
+    out = stats.join(joined, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def jaccard_links(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links, not only what joins components: (u, v) of classes of equal sets, and (doc_id, rep, n_links) of documents.
+
+    rows: (doc_id, text) with distinct ids. A class goes by its smallest doc_id. n_links counts the
+    documents that a document links with, those of its own class and of all classes linked with it.
+    Documents with an empty set link with nothing and are their own class.
+    """
+    stats, classes, links = _classes_and_links(rows, words, percent, every=True)
+    sized = classes.select("rep", "copies")
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    others = both.join(sized, F.col("v") == F.col("rep")).groupBy("u").agg(F.sum("copies").alias("others"))
+    rep = stats.join(classes.select("hi", "lo", "n", "rep", "copies"), ["hi", "lo", "n"], "left").join(others, F.col("rep") == F.col("u"), "left")
+    return links, rep.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"))
+
+
+def _members(stats: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): documents of a class of several and the class's smallest."""
+    several = classes.filter("copies > 1").select("hi", "lo", "n", "rep")
+    return stats.filter("n > 0").join(several, ["hi", "lo", "n"]).filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
+def _classes_and_links(rows: DataFrame, words: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Set sizes by document, classes of equal sets, and links between classes, all or as many as join them."""
+    rows = rows.select("doc_id", "text")
     emitted = rows.mapInArrow(_emit(words, percent), "token long, doc_id long, weight long, hi long, lo long")
     counted = emitted.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("weight > 0")
     is_own, size = F.col("weight") >= OWN, F.shiftright("weight", 32) - 1
@@ -311,8 +356,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
     stats = materialise(stats, "shingle-counts")
     # equal sets are one class, known by its smallest doc_id
-    full = stats.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
+    classes = stats.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "shingle-classes")
     wanted = F.greatest(F.lit(1), F.floor(F.col("n") / 10) - 1)
     open_ = classes.filter(F.col("shared") >= wanted).select(F.col("rep").alias("doc_id"), "n")
@@ -322,12 +366,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     reps = reps.filter(F.size("tokens") == F.col("n"))
 
     near = components(candidate_links(reps, percent), "doc_id", "pivot")
-    links = exact_links(reps, near, percent)
-    several = classes.filter("copies > 1").select("hi", "lo", "n", "rep")
-    members = full.join(several, ["hi", "lo", "n"]).filter("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    joined = components(links.unionByName(members), "u", "v")
-    out = stats.join(joined, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return stats, classes, exact_links(reps, near, percent, every)
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
@@ -344,8 +383,8 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     return pre.join(first.select("token", "pivot"), "token").filter("doc_id != pivot").select("doc_id", "pivot").distinct()
 
 
-def exact_links(reps: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join all that link within each candidate component."""
+def exact_links(reps: DataFrame, near: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """(u, v): links within each candidate component; with ``every`` all of them, otherwise as many as join all that link."""
     sized = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = reps.join(near.join(sized, "component"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", F.col("component").alias("comp"), "size")
     placed = materialise(placed.withColumn("low", F.col("tokens")[0]), "candidates")
@@ -355,25 +394,29 @@ def exact_links(reps: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     groups = max(1, -(-small.count() // BUNDLE))
     zero = F.lit(0).cast("long")
     small = small.select("doc_id", "comp", "low", "tokens", zero.alias("part"), zero.alias("x"), zero.alias("y"), F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("key"))
-    links = small.groupBy("key").applyInArrow(_join_groups(percent), shape)
+    links = small.groupBy("key").applyInArrow(_join_groups(percent, every), shape)
     large = placed.filter(F.col("size") > BLOCK)
     if large.isEmpty():
         return materialise(links, "links-found")
     pivots = large.filter("doc_id = comp").select("comp", F.col("tokens").alias("pivot_tokens"))
     both = F.size(F.array_intersect("tokens", "pivot_tokens"))
-    meets = (100 * both >= percent * (F.col("n") + F.size("pivot_tokens") - both)) & (F.col("doc_id") != F.col("comp"))
-    tried = large.join(pivots, "comp").withColumn("settled", meets | (F.col("doc_id") == F.col("comp"))).drop("pivot_tokens")
+    meets = F.lit(not every) & (100 * both >= percent * (F.col("n") + F.size("pivot_tokens") - both)) & (F.col("doc_id") != F.col("comp"))
+    tried = large.join(pivots, "comp").withColumn("settled", meets | (F.lit(not every) & (F.col("doc_id") == F.col("comp")))).drop("pivot_tokens")
     tried = materialise(tried, "pivoted")
     settled = tried.filter("settled and doc_id != comp").select(F.col("doc_id").alias("u"), F.col("comp").alias("v"))
-    # blocks of those not settled come first; a pair of blocks is needed if one is such
-    order = Window.partitionBy("comp").orderBy("settled", "low", "doc_id")
-    dealt = tried.select("doc_id", "comp", "settled", "low", "size").withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
-    counts = tried.groupBy("comp").agg(F.sum(F.when(F.col("settled"), 0).otherwise(1)).alias("loose"))
-    dealt = dealt.join(counts, "comp").withColumn("loose_parts", F.ceil(F.col("loose") / BLOCK).cast("long")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("long"))
-    partners = F.when(F.col("part") < F.col("loose_parts"), F.col("parts")).otherwise(F.col("loose_parts"))
-    met = dealt.filter(partners > 0).withColumn("other", F.explode(F.sequence(zero, partners - 1)))
-    met = met.select("doc_id", "comp", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    # blocks of those not settled come first, each by size; a pair of blocks is a task if one is such and their sizes allow a link
+    dealt = tried.select("doc_id", "comp", "settled", "n", "low")
+    unit = F.struct("settled", "n", leading_bits(F.col("low"), unit_bits(tried.count())).alias("bits"))
+    dealt = running_sums(dealt, ["comp"], unit, [F.col("low"), F.col("doc_id")], {"rank": F.lit(1)})
+    dealt = materialise(dealt.withColumn("part", F.floor(F.col("rank") / BLOCK).cast("long")), "blocks-dealt")
+    nodes = dealt.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("settled").alias("settled"))
+    end = nodes.groupBy("comp").agg(F.max("part").alias("end"))
+    first = nodes.join(end, "comp").withColumn("y", F.explode(F.sequence("part", "end"))).select("comp", F.col("part").alias("x"), "y", F.col("least").alias("l"), F.col("most").alias("m"), F.col("settled").alias("s"))
+    met = first.join(nodes, (first["comp"] == nodes["comp"]) & (first["y"] == nodes["part"])).drop(nodes["comp"])
+    met = met.filter(~(F.col("s") & F.col("settled")) & (100 * F.col("most") >= percent * F.col("l")) & (100 * F.col("m") >= percent * F.col("least")))
+    sides = met.select("comp", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    met = dealt.select("doc_id", "comp", "part").join(sides, ["comp", "part"])
     tasks = met.join(large.select("doc_id", "comp", "low", "tokens"), ["doc_id", "comp"])
     tasks = tasks.withColumn("key", F.concat_ws("-", "comp", "x", "y"))
-    wide = tasks.groupBy("key").applyInArrow(_join_groups(percent), shape)
+    wide = tasks.groupBy("key").applyInArrow(_join_groups(percent, every), shape)
     return materialise(links.unionByName(wide).unionByName(settled), "links-found")

@@ -694,7 +694,32 @@ def test_jaccard_join_odd_rows(spark):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
     rows = docs(spark, [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (2, "A B C D E F", "s"), (None, "a b c d e f", "s")])
     got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard_join.jaccard_join(rows).collect())
-    assert got == ["(1, 2, 1)", "(2, 2, 1)", "(None, 2, None)"]
+    assert got == ["(1, 2, 1)", "(1, 2, 1)", "(2, 2, 1)", "(None, 2, 1)"]
+    rows = docs(spark, [(7, "a b c d e f", "s"), (7, "u v w x y z", "s"), (9, "U V W X Y Z", "s"), (None, "no one else says this", "s"), (None, "", "s"), (None, "k l m n o p", "s"), (None, "k l m n o p", "s")])
+    got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard_join.jaccard_join(rows).collect())
+    assert got == ["(7, 2, 7)", "(7, 2, 7)", "(9, 2, 7)", "(None, 0, None)", "(None, 1, None)", "(None, 2, None)", "(None, 2, None)"]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_all_links(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_rows(3)
+    links, members = jaccard_join.jaccard_links(docs(spark, [(d, t, "s") for d, t in rows]))
+    sets = {d: shingles(t) for d, t in rows}
+    linked = lambda a, b: bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    got = {r["doc_id"]: (r["rep"], r["n_links"]) for r in members.collect()}
+    want = {d: (min(e for e in sets if e == d or (sets[e] == sets[d] and sets[d])), sum(linked(d, e) for e in sets if e != d)) for d in sets}
+    assert got == want
+    reps = sorted({r for r, _ in got.values()})
+    pairs = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if linked(a, b)}
+    assert pairs and {(min(r), max(r)) for r in links.collect()} == pairs and links.count() == len(pairs)
+
+
+def test_component_of_over_a_block(spark):
+    """A chain of 700 sets, each near the next ones alone: no set settles the others, and blocks meet by trees."""
+    rows = [(k, " ".join(f"c{w}" for w in range(5 * k, 5 * k + 120))) for k in range(700)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(docs(spark, [(d, t, "s") for d, t in rows])).collect()}
+    assert set(got.values()) == {0} and len(got) == 700
 
 
 def test_signature_tree_finds_all_links():
