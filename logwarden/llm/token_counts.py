@@ -193,7 +193,7 @@ def cleaning_edits(text: str) -> list[Edit]:
 TREE = "doc_id long, text string, lengths array<int>, tokens array<int>, leaves array<int>, sums array<long>"
 COUNTS = "tokens_before long, n_edits long, n_segments long, n_encoded long"
 #: Rows of an output batch.
-ROWS = 1000
+ROWS = 256
 
 
 def _lists(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
