@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import ROW, leading_bits, materialise, running_sums, text_blocks, unit_bits, with_rows
+from logwarden.llm.common import ROW, leading_bits, materialise, release, running_sums, text_blocks, unit_bits, with_rows
 from logwarden.llm.components import components
+from logwarden.sources.scratch import temporary_tables
 
 WORDS, PERCENT = 5, 80
 #: Sets in a block of a large component, and small components' sets in one group of tasks.
@@ -362,11 +363,15 @@ def _classes_and_links(rows: DataFrame, words: int, percent: int, every: bool) -
     open_ = classes.filter(F.col("shared") >= wanted).select(F.col("rep").alias("doc_id"), "n")
     # what grows with the data is never broadcast: the plan stays the same at every size
     found = rows.join(open_.hint("merge"), "doc_id").select("doc_id", "n", "text")
-    reps = materialise(found.mapInArrow(_sets(words), "doc_id long, n long, tokens array<long>"), "shingle-sets")
-    reps = reps.filter(F.size("tokens") == F.col("n"))
-
-    near = components(candidate_links(reps, percent), "doc_id", "pivot")
-    return stats, classes, exact_links(reps, near, percent, every)
+    stored = materialise(found.mapInArrow(_sets(words), "doc_id long, n long, tokens array<long>"), "shingle-sets")
+    reps = stored.filter(F.size("tokens") == F.col("n"))
+    # token lists are the large tables here; they go as soon as links are found
+    with temporary_tables("links"):
+        near = components(candidate_links(reps, percent), "doc_id", "pivot")
+    with temporary_tables("links-found"):
+        links = exact_links(reps, near, percent, every)
+    release(stored)
+    return stats, classes, links
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
