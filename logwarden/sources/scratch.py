@@ -11,6 +11,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What is written once and read soon: a dense codec, and row groups that keep a writer's memory small.
+FORMAT = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
@@ -36,7 +38,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append((spark, path))
-    df.write.parquet(path)
+    df.write.options(**FORMAT).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
