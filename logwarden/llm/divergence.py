@@ -1,12 +1,12 @@
 """How the words of sources differ, language by language, by sorted streams.
 
 Terms are counted with their documents where texts are read, in tables of bounded size. What comes
-out of those tables is dealt out by (lang, term) and sorted by (lang, term, source, document); a
-scan over the runs of equal keys gives document frequencies and counts. The terms that a language
-keeps are dealt out again, in any number of parts, each part behind a head with all groups of the
-language; a second scan over the runs adds up, for a part, the differences of every pair of sources
-and holds the terms that stand out most, and hands on those partial results. They meet in one last
-aggregate. All arithmetic is on whole numbers.
+out of those tables is dealt out by (lang, term) and sorted by (lang, term, source, document); a scan
+over the runs of equal keys gives document frequencies and counts. The terms that a language keeps
+are dealt out again, in any number of parts, each part behind a head with all groups of the language;
+a second scan over the runs adds up, for a part, the differences of every pair of sources and holds
+the terms that stand out most, and hands on those partial results. They meet in one last aggregate.
+All arithmetic is on whole numbers.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from logwarden.llm.common import materialise
 #: Bytes of terms: letters, and all bytes of characters beyond ASCII.
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Entries of a counting table, rows of a part, numbers of a dense block, bytes of a text counted at a time.
-ENTRIES, PART_ROWS, BLOCK, SLICE = 200_000, 200_000, 2_000_000, 4 << 20
+ENTRIES, PART_ROWS, BLOCK, SLICE = 400_000, 200_000, 2_000_000, 4 << 20
+#: An entry of a table is its documents times this, plus its occurrences.
+DOCUMENT = 1 << 40
 SCALE, SMOOTH = 1_000_000_000, 5
 
 COUNTED = "lang string, term string, source string, document long, docs long, n long"
@@ -56,13 +58,21 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, str], dict[bytes, list[int]]] = defaultdict(dict)
+        table: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
         first = seen = held = 0
 
         def out() -> pa.RecordBatch:
-            rows = [(lang, term.decode(), source, first, v[0], v[1]) for (lang, source), terms in table.items() for term, v in terms.items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 3, strict=False)], ["lang", "term", "source", "document", "docs", "n"])
+            terms, entries, sizes = [], [], []
+            for own in table.values():
+                terms += own
+                entries.append(np.fromiter(own.values(), np.int64, len(own)))
+                sizes.append(len(own))
+            groups, packed = pa.array(np.repeat(np.arange(len(sizes)), sizes)), np.concatenate(entries)
+            named = [pa.array([g[k] for g in table], pa.string()).take(groups) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(
+                [named[0], pa.array(terms, pa.binary()).cast(pa.string()), named[1], pa.array(np.full(len(packed), first, np.int64)), pa.array(packed // DOCUMENT), pa.array(packed % DOCUMENT)],
+                ["lang", "term", "source", "document", "docs", "n"],
+            )
 
         for batch in batches:
             langs, sources, texts = (c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())))
@@ -73,13 +83,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
                     own.update(_TERM.findall(part.lower()))
                 held -= len(terms)
                 for term, n in own.items():
-                    entry = terms.get(term)
-                    if entry is None:
-                        terms[term] = [1, n]
-                    else:
-                        entry[0] += 1
-                        entry[1] += n
-                terms.setdefault(b"", [0, 0])[0] += 1
+                    terms[term] = terms.get(term, 0) + n + DOCUMENT
+                terms[b""] = terms.get(b"", 0) + DOCUMENT
                 held += len(terms)
                 seen += 1
                 if held >= ENTRIES:
@@ -153,7 +158,9 @@ def scan_terms(counted: DataFrame, least_docs: int) -> DataFrame:
                 ["lang", "term", "source", "n", "term_first"],
             )
 
-    return counted.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document").mapInArrow(run, RUNS)
+    # the hash in front settles nearly all comparisons without looking at texts
+    dealt = counted.repartition("lang", "term").withColumn("key", F.xxhash64("lang", "term")).sortWithinPartitions("key", "lang", "term", "source", "document")
+    return dealt.drop("key").mapInArrow(run, RUNS)
 
 
 def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
