@@ -24,14 +24,23 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
-def _round(key: bytes, tweak: str, n: int, value: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{n}|{value}".encode(), key=key, digest_size=32).digest(), "big")
+#: Bits of the largest domain that is permuted at once; longer values are cut into blocks.
+DOMAIN_BITS = 256
 
 
-def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
-    """A keyed permutation of 0 .. size - 1, and its inverse."""
+def _round(key: bytes, tweak: bytes, n: int, value: int) -> int:
+    """A number of 16 bytes more than half a domain has, so that its remainders are as good as even."""
+    hashed = hashlib.blake2b(value.to_bytes(DOMAIN_BITS // 16 + 1, "big") + bytes([n]) + tweak, key=key, digest_size=DOMAIN_BITS // 16 + 16)
+    return int.from_bytes(hashed.digest(), "big")
+
+
+def permute(value: int, size: int, key: bytes, tweak: str | bytes, back: bool = False) -> int:
+    """A keyed permutation of 0 .. size - 1, and its inverse; size has up to DOMAIN_BITS bits."""
     if size < 2:
         return value
+    if size.bit_length() > DOMAIN_BITS:
+        raise ValueError(f"a domain has up to {DOMAIN_BITS} bits")
+    tweak = tweak.encode() if isinstance(tweak, str) else tweak
     a = math.isqrt(size - 1) + 1
     b = -(-size // a)
     while True:
@@ -52,18 +61,54 @@ LATIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 HEXADECIMAL = ("0123456789", "abcdef", "ABCDEF")
 
 
+def _blocks(sizes: list[int]) -> list[tuple[int, int]]:
+    """Runs of places, as few as will do, whose choices make up a domain of up to DOMAIN_BITS bits each; all about equal."""
+    own = [math.log2(n) for n in sizes]
+    bits = sum(own)
+    many = max(1, math.ceil(bits / (DOMAIN_BITS - 8)))
+    out, start, before, block = [], 0, 0.0, 0
+    for k, x in enumerate(own):
+        at = min(many - 1, int(many * (before + x / 2) / bits)) if bits else 0
+        if at > block:
+            out.append((start, k))
+            start, block = k, at
+        before += x
+    return [*out, (start, len(sizes))]
+
+
 def permute_characters(text: str, key: bytes, tweak: str, back: bool = False, alphabet: tuple[str, ...] = LATIN) -> str:
-    """Permute the alphabet's characters, each within its class and place; other characters stay."""
+    """Permute the alphabet's characters, each within its class and place; other characters stay.
+
+    A text of more choices than one domain holds is permuted block by block, once from the front,
+    each block under a hash of the blocks before it, and once from the end, under one of those behind
+    it. So every character depends on all, and the work grows with the length.
+    """
     classes = [next((own for own in alphabet if c in own), c) for c in text]
-    size, value = 1, 0
-    for c, own in zip(text, classes, strict=True):
-        size, value = size * len(own), value * len(own) + own.index(c)
-    value = permute(value, size, key, f"{tweak}:{''.join(own[0] for own in classes)}", back)
-    out = []
-    for own in reversed(classes):
-        value, k = divmod(value, len(own))
-        out.append(own[k])
-    return "".join(reversed(out))
+    sizes = [len(own) for own in classes]
+    values = [own.index(c) for c, own in zip(text, classes, strict=True)]
+    shape = hashlib.blake2b("".join(own[0] for own in classes).encode(), key=key, person=b"shape", digest_size=32).digest()
+    blocks = _blocks(sizes)
+
+    def block(a: int, b: int, under: bytes) -> None:
+        size, value = 1, 0
+        for k in range(a, b):
+            size, value = size * sizes[k], value * sizes[k] + values[k]
+        value = permute(value, size, key, under, back)
+        for k in range(b - 1, a - 1, -1):
+            value, values[k] = divmod(value, sizes[k])
+
+    def sweep(order: list[tuple[int, int]], under: bytes) -> None:
+        # a block's tweak is made of what the blocks before it are turned into, which the inverse knows as well
+        for a, b in order:
+            known = bytes(values[a:b]) if back else b""
+            block(a, b, under)
+            under = hashlib.blake2b(under + (known or bytes(values[a:b])), key=key, digest_size=32).digest()
+
+    begin = tweak.encode() + b":" + shape
+    sweeps = [(blocks, begin), (blocks[::-1], begin + b":back")] if len(blocks) > 1 else [(blocks, begin)]
+    for order, under in reversed(sweeps) if back else sweeps:
+        sweep(order, under)
+    return "".join(own[v] for own, v in zip(classes, values, strict=True))
 
 
 def luhn_digit(payload: str) -> str:
@@ -237,6 +282,8 @@ KINDS: list[tuple[str, Callable[[str], Iterator[tuple[int, int]]], Callable[...,
 ]
 
 _MAYBE = re.compile(r"\d")
+#: Longer values are not kept in the cache of pseudonyms.
+CACHED_LENGTH = 200
 
 
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -249,7 +296,7 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
         for a, b in spans(text):
             if taken.find(1, a, b) >= 0:
                 continue
-            new = _cached(make, text[a:b], key, back)
+            new = _cached(make, text[a:b], key, back) if b - a <= CACHED_LENGTH else make(text[a:b], key, back)
             if new is not None:
                 found.append((a, b, kind, new))
                 taken[a:b] = b"\1" * (b - a)
