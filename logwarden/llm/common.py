@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logwarden.sources.scratch import broadcast_if_small, materialise, release, scratch_dir
 
-__all__ = ["FEW_KEYS", "ROW", "broadcast_if_small", "keep_rows", "leading_bits", "lower_ascii", "materialise", "null_safe", "release", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits", "with_rows"]
+__all__ = ["FEW_KEYS", "ROW", "broadcast_if_small", "keep_rows", "leading_bits", "lower_ascii", "materialise", "null_safe", "release", "row_key", "running_sums", "scratch_dir", "table", "text_blocks", "unit_bits", "with_rows"]
 #: What separates words, as a Java regular expression of the words themselves.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT_ROWS = 20_000
 #: So many keys, some tens of megabytes, are broadcast; more are joined by a shuffle.
 FEW_KEYS = 2_000_000
-#: A row's key, where rows and not ids are decided on.
+#: A row's key, where rows and not ids are decided on; with_rows() lengthens the name where a table has it.
 ROW = "__row"
 
 
@@ -41,22 +41,31 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """The rows with a key of their own, written down so that every reading sees the same keys."""
-    return materialise(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def row_key(df: DataFrame) -> str:
+    """A name for a key that no column of the table has."""
+    name, taken = ROW, {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def keep_rows(rows: DataFrame, groups: DataFrame, best: Column) -> DataFrame:
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, and its name; written down so that every reading sees the same keys."""
+    key = row_key(df)
+    return materialise(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+
+
+def keep_rows(rows: DataFrame, key: str, groups: DataFrame, best: Column) -> DataFrame:
     """Of the rows of each group the one of least ``best``, whatever ids rows share; the keys go.
 
-    rows: with_rows(); groups: (ROW, group), one row each. Only keys and ids meet in groups. Of up
-    to FEW_KEYS rows that go the keys are broadcast, and no text moves; beyond that the rows are
+    rows, key: with_rows(); groups: (ROW, group), one row each. Only keys and ids meet in groups. Of
+    up to FEW_KEYS rows that go the keys are broadcast, and no text moves; beyond that the rows are
     joined by their keys.
     """
-    known = materialise(groups.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "group", "doc_id"), "row-groups")
+    known = materialise(groups.join(rows.select(F.col(key).alias(ROW), "doc_id"), ROW).select(ROW, "group", "doc_id"), "row-groups")
     stays = known.groupBy("group").agg(F.min(F.struct(best, F.col(ROW)))[ROW].alias(ROW))
-    gone = broadcast_if_small(known.select(ROW).join(stays, ROW, "left_anti"), "rows-gone", FEW_KEYS)
-    return rows.join(gone, ROW, "left_anti").drop(ROW)
+    gone = broadcast_if_small(known.select(ROW).join(stays, ROW, "left_anti").select(F.col(ROW).alias(key)), "rows-gone", FEW_KEYS)
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def unit_bits(rows: int) -> int:

@@ -141,6 +141,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     One row stays of each text: rows that repeat a doc_id count singly, and a row with a null doc_id
     stays only where the text has no other. See keep_rows() for what moves.
     """
-    rows = with_rows(docs)
-    groups = exact_dedup(rows.select(F.col(ROW).alias("doc_id"), "text")).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
-    return keep_rows(rows, groups, F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id")))
+    rows, key = with_rows(docs)
+    groups = exact_dedup(rows.select(F.col(key).alias("doc_id"), "text")).filter("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return keep_rows(rows, key, groups, F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id")))

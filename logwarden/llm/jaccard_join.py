@@ -307,7 +307,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     if rows.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").isEmpty():
         return join_rows(rows, words, percent)
     # ids that are no keys: rows are joined by keys of their own
-    keyed = with_rows(rows)
+    keyed, _ = with_rows(rows)
     joined = materialise(join_rows(keyed.select(F.col(ROW).alias("doc_id"), "text"), words, percent).withColumnRenamed("doc_id", ROW).join(keyed.select(ROW, "doc_id"), ROW), "joined-rows")
     least = joined.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     met = joined.join(least.withColumn("known", F.lit(True)), "component_id", "left")

@@ -267,4 +267,6 @@ def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFr
                 sizes = pc.fill_null(pc.binary_length(batch.column("text").slice(first, len(best))), 0).to_numpy(zero_copy_only=False)
                 yield batch.slice(first, len(best)).filter(pa.array(ok & ((score >= least[best]) | (sizes < TELLING))))
 
-    return docs.mapInArrow(run, docs.schema)
+    # names that Spark would read as more than a name, such as those with dots, are put back at the end
+    plain = docs.toDF(*[c if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -67,15 +67,19 @@ def source_targets(sizes: DataFrame, schedules: list[Schedule], most_uses: int)
     return flagged.withColumn("target", target).select("source", "source_size", "schedule", "target")
 
 
-def word_count() -> Column:
-    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+def word_count(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def _used(docs: DataFrame, schedules: list[Schedule], most_uses: int, seed: int) -> DataFrame:
-    """Documents with their places in their source's order and how often they are used; see mix()."""
-    base = materialise(docs.select("doc_id", "source", word_count().alias("size")).withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))), "mix-sizes")
+#: What gives a document its place in the order of its source.
+PLACE = ("h", "doc_id", "size", "mark")
+
+
+def _used(sizes: DataFrame, schedules: list[Schedule], most_uses: int, seed: int) -> DataFrame:
+    """Documents (doc_id, source, size, mark) with their places in their source's order and how often they are used; see mix()."""
+    base = materialise(sizes.select("doc_id", "source", "size", "mark", F.xxhash64("doc_id", "size", F.lit(seed)).alias("h")), "mix-sizes")
     targets = materialise(source_targets(base, schedules, most_uses), "mix-targets")
-    unit, order = leading_bits(F.col("h"), unit_bits(base.count())), [F.col("h"), F.col("doc_id"), F.col("size")]
+    unit, order = leading_bits(F.col("h"), unit_bits(base.count())), [F.col(c) for c in PLACE]
     placed = running_sums(base, ["source"], unit, order, {"start": F.col("size")})
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_uses))).otherwise(0).cast("long")
     placed = null_safe(placed, targets, ["source"]).withColumn("full", full)
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses: int =
     place. Repeated rows are documents of their own. An empty table gives an empty result. Other
     columns of ``docs`` are ignored.
     """
-    used = _used(docs, schedules, most_uses, seed)
+    used = _used(docs.select("doc_id", "source", word_count().alias("size"), F.lit(0).cast("long").alias("mark")), schedules, most_uses, seed)
     # where the document's words stand in its last use, among the source's words of that round
     last_start = F.when(F.col("fits"), F.col("start")).when(F.col("fills"), F.col("rest") - F.col("left_fits") + F.col("start_more")).otherwise(F.col("rest") - F.col("left_fills"))
     middle = lambda k: F.least((k * F.col("source_size") + F.when(k == F.col("full"), last_start).otherwise(F.col("start")) + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0))
@@ -141,15 +145,30 @@ def apply_mix(docs: DataFrame, schedules: list[Schedule] = SCHEDULES, most_uses:
     A source's uses are told by one row: the whole rounds, and the place in the order of the hash up
     to which its documents are used once more. The few taken behind that place are listed. Both
     meet the documents where these are read, by broadcast while they are small; then no text moves.
-    Rows that share source, doc_id and size are taken as often as the one of them that is used most.
+    Each row is a document, as in mix(). Places tell rows apart by all their columns (but for maps),
+    so only rows that are alike throughout share one; where the mix takes some of these once more
+    and not the others, one stands for all and is repeated as often as they are taken together.
+    Columns of ``docs`` may have any names.
     """
-    used = materialise(_used(docs, schedules, most_uses, seed).select("source", "h", "doc_id", "size", "full", "fits", "late"), "mix-uses")
-    place = F.struct("h", "doc_id", "size")
-    rules = used.groupBy(F.col("source").alias("__source")).agg(F.max("full").alias("__full"), F.max(F.when(F.col("fits"), place)).alias("__cut"))
-    late = used.filter("late").select(F.col("source").alias("__late_source"), place.alias("__late_place"), F.lit(1).alias("__late")).distinct()
-    rows = docs.withColumn("__size", word_count()).withColumn("__place", F.struct(F.xxhash64("doc_id", "__size", F.lit(seed)).alias("h"), "doc_id", F.col("__size").alias("size")))
-    met = rows.join(broadcast_if_small(rules, "mix-rules", FEW_KEYS // 4), F.col("source").eqNullSafe(F.col("__source")))
-    met = met.join(broadcast_if_small(late, "mix-late", FEW_KEYS // 4), F.col("source").eqNullSafe(F.col("__late_source")) & F.col("__place").eqNullSafe(F.col("__late_place")), "left")
-    once_more = F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False)) | F.col("__late").isNotNull()
-    uses = F.col("__full") + F.when(once_more, 1).otherwise(0)
-    return met.withColumn("__uses", uses).filter("__uses > 0").withColumn("__uses", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__uses").cast("long")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().count("map<")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = rows.select("doc", F.col("doc.source").alias("source"), F.col("doc.doc_id").alias("doc_id"), word_count("doc.text").alias("size"), F.xxhash64(*hashed).alias("mark"))
+    used = _used(rows.drop("doc"), schedules, most_uses, seed).withColumn("more", F.col("fits") | F.col("late"))
+    used = materialise(used.select("source", *PLACE, "full", "fits", "late", "more"), "mix-uses")
+    place = F.struct(*PLACE)
+    shared = used.groupBy("source", *PLACE).agg(F.sum("full").cast("long").alias("rounds"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("more").cast("long")).alias("taken"))
+    shared = materialise(shared.filter("taken > 0 and taken < rows").select(F.col("source").alias("shared_source"), place.alias("shared_place"), (F.col("rounds") + F.col("taken")).alias("shared_uses")), "mix-shared")
+    rules = used.groupBy(F.col("source").alias("rule_source")).agg(F.max("full").alias("full"), F.max(F.when(F.col("fits"), place)).alias("cut"))
+    late = used.filter("late").select(F.col("source").alias("late_source"), place.alias("late_place")).distinct().withColumn("late", F.lit(True))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("place", place)
+    same = lambda name: F.col("source").eqNullSafe(F.col(f"{name}_source")) & F.col("place").eqNullSafe(F.col(f"{name}_place"))
+    some = not shared.isEmpty()
+    single = rows.join(F.broadcast(shared), same("shared"), "left_anti") if some else rows
+    met = single.join(broadcast_if_small(rules, "mix-rules", FEW_KEYS // 4), F.col("source").eqNullSafe(F.col("rule_source")))
+    met = met.join(broadcast_if_small(late, "mix-late", FEW_KEYS // 4), same("late"), "left")
+    once_more = F.coalesce(F.col("place") <= F.col("cut"), F.lit(False)) | F.coalesce("late", F.lit(False))
+    out = met.select("doc", (F.col("full") + once_more.cast("int")).cast("long").alias("uses"))
+    if some:
+        alike = rows.join(F.broadcast(shared), same("shared")).dropDuplicates(["source", *PLACE])
+        out = out.unionByName(alike.select("doc", F.col("shared_uses").alias("uses")))
+    return out.filter("uses > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses")))).select("doc.*")

@@ -99,12 +99,14 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
     where several share these, the one takes the n-th place in the order of the text's hash, in
     which shards are cut.
     """
-    rows = with_rows(docs)
+    rows, key = with_rows(docs)
     keys = ["doc_id", "size", "text_crc32"]
-    own = materialise(rows.select(ROW, "doc_id", *_measures()), "shard-keys")
+    own = materialise(rows.select(F.col(key).alias(ROW), "doc_id", *_measures()), "shard-keys")
     bits = unit_bits(own.count())
     places = materialise(placed.select(*keys, "shard", "slot"), "shard-places")
     own = running_sums(own, keys, F.struct("group", leading_bits(F.xxhash64(ROW), bits).alias("part")), [F.col(ROW)], {"__nth": F.lit(1)})
     places = running_sums(places, keys, F.struct("shard", F.floor(F.col("slot") / UNIT_ROWS).alias("part")), [F.col("slot")], {"__nth": F.lit(1)})
     where = null_safe(own, places, [*keys, "__nth"]).select(ROW, "shard", "slot")
-    rows.join(where, ROW).drop(ROW).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError("documents have columns named shard or slot, as the folders and their order have")
+    rows.join(where.withColumnRenamed(ROW, key), key).drop(key).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

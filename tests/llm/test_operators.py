@@ -127,6 +127,48 @@ def test_mix_empty_and_repeated(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def taken_by(frame):
+    """Words by source, and how often each text is there."""
+    words_of, uses = collections.Counter(), collections.Counter()
+    for r in frame.collect():
+        words_of[r["source"]] += len((r["text"] or "").split())
+        uses[r["source"], r["doc_id"], r["text"]] += 1
+    return words_of, uses
+
+
+@pytest.mark.parametrize("kind", ["sample", "alike", "no ids", "same ids"])
+def test_apply_mix_takes_what_the_mix_takes(spark, kind):
+    """Word for word by source, with rows that share all columns, an id and a size, or only a size."""
+    rows = {
+        "sample": sample_rows(3),
+        "alike": [(1, "a b c", "x")] * 601 + [(k, "w " * (k % 9), "y") for k in range(300)],
+        "no ids": [(None, f"a{k} b c", "x") for k in range(601)] + [(None, "d " * (k % 4), "y") for k in range(400)],
+        "same ids": [(k % 7, f"t{k} " * (k % 3 + 1), f"s{k % 2}") for k in range(500)] + [(1, "one two", "s2")] * 50,
+    }[kind]
+    frame = docs(spark, rows)
+    taken = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        taken[r["source"]] += r["taken"]
+    made = mixing.apply_mix(frame)
+    assert made.columns == frame.columns
+    got, uses = taken_by(made)
+    assert {s: n for s, n in got.items() if n} == {s: n for s, n in taken.items() if n}
+    held = collections.Counter((s, d, t) for d, t, s in rows)
+    assert all(n <= 3 * held[k] for k, n in uses.items())
+    assert taken_by(mixing.apply_mix(frame.repartition(5))) == (got, uses)
+
+
+def test_tables_with_any_column_names(spark):
+    """Columns named like those that operators make, with dots, or like row keys come back as they were."""
+    names = ["__row", "__row_", "a.b", "__size", "__place", "__uses", "__full", "__n", "place", "mark", "full", "late", "cut", "doc", "h", "size", "source_size", "group", "count", "Text2"]
+    rows = [(k, f"einige worte {k % 5} und mehr text", "s") for k in range(40)] + [(None, None, None), (3, "", "s")]
+    frame = docs(spark, rows, extra=False).select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    for made in (mixing.apply_mix(frame), exact_dedup.drop_copies(frame), language.keep_identified(frame)):
+        assert made.columns == frame.columns
+        found = made.collect()
+        assert found and all(r[n] == f"{n}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in found for n in names)
+
+
 # --- 2 exact dedup -------------------------------------------------------------------------------
 
 
@@ -326,6 +368,56 @@ def test_permutation_is_one():
     assert [pii.permute(k, 100, KEY, "t") for k in range(100)] != [pii.permute(k, 100, b"other", "t") for k in range(100)]
 
 
+@pytest.mark.parametrize("size", [1 << 64, 26**12, (1 << 128) + 1, 10**70, (1 << 256) - 1])
+def test_permutation_reaches_every_digit_of_large_domains(size):
+    rng = random.Random(size)
+    values = [rng.randrange(size) for _ in range(400)]
+    image = [pii.permute(v, size, KEY, "t") for v in values]
+    assert [pii.permute(x, size, KEY, "t", back=True) for x in image] == values and all(0 <= x < size for x in image)
+    # each byte of the number changes as often as chance has it
+    for shift in range(0, size.bit_length() - 8, 8):
+        same = sum((a >> shift & 255) == (b >> shift & 255) for a, b in zip(values, image, strict=True))
+        assert same <= 12, shift
+    with pytest.raises(ValueError):
+        pii.permute(0, 1 << 256, KEY, "t")
+
+
+def test_every_kind_stays_within_a_domain():
+    longest = {"token": "a1" * 32, "iban": "LC" + "AB1" * 10, "ipv6": ":".join(["ffff"] * 8), "card": "9" * 19, "email": "Ab1" * 9000}
+    for text in longest.values():
+        sizes = [len(next((own for own in pii.LATIN if c in own), c)) for c in text]
+        blocks = pii._blocks(sizes)
+        assert [a for a, _ in blocks] == [0, *[b for _, b in blocks[:-1]]] and blocks[-1][1] == len(text)
+        assert all(math.prod(sizes[a:b]).bit_length() < pii.DOMAIN_BITS for a, b in blocks)
+    assert all(len(pii._blocks([16] * n)) == 1 for n in (32, 40, 62)) and pii._blocks([26] * 53) == [(0, 26), (26, 53)]
+
+
+def test_long_names_are_permuted_throughout():
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for length, tries in ((1, 600), (2, 400), (10, 300), (52, 200), (53, 200), (120, 200), (400, 100), (3000, 20), (20_000, 3)):
+        same, names = np.zeros(length), ["".join(rng.choices(letters, k=length)) for _ in range(tries)]
+        for name in names:
+            new = pii.email(f"{name}@h.org", KEY)
+            assert new.endswith("@h.org") and pii.email(new, KEY, back=True) == f"{name}@h.org"
+            same += [a == b for a, b in zip(name, new[:-6], strict=True)]
+        # a place stays as it was once in 26 names
+        assert same.sum() <= length * tries / 26 + 6 * math.sqrt(length * tries / 26) + 3
+        assert same.max() <= tries / 26 + 7 * math.sqrt(tries / 26) + 3
+    for length in (6_500, 100_000):
+        name = "".join(rng.choices("Ab1._%+-" + letters, k=length)) + "z"
+        began = time.process_time()
+        new, spans = pii.pseudonymise(f"{'x' + name}@h.org", KEY)
+        assert [k for k, _, _ in spans] == ["email"] and pii.pseudonymise(new, KEY, back=True)[0] == f"{'x' + name}@h.org"
+        assert time.process_time() - began < 10
+    # a change at either end changes all of a long name
+    one = "".join(rng.choices(letters, k=300))
+    first = pii.email(f"{one}@h", KEY)
+    for other in ("a" + one[1:] if one[0] != "a" else "b" + one[1:], one[:-1] + ("a" if one[-1] != "a" else "b")):
+        new = pii.email(f"{other}@h", KEY)
+        assert sum(a == b for a, b in zip(first[:300], new[:300], strict=True)) < 40
+
+
 def test_pseudonyms_keep_format_and_link():
     text = "a 4539 1488 0343 6467, b 4539148803436467, born 1987-06-05 or 05/06/1987; +1 (212) 555-7713, 078-05-1120, 10.20.30.40, joe.7@mail3.example.com."
     new, spans = pii.pseudonymise(text, KEY)

@@ -6,6 +6,7 @@ import collections
 import random
 
 import corpus_pipeline
+from logwarden.llm import mixing
 from tests.llm.test_operators import brute_components, language_rows
 
 
@@ -39,6 +40,12 @@ def test_stages(spark):
     d = stage["mix"](spark, c, "")
     uses = collections.Counter(r["doc_id"] for r in d.collect())
     assert d.columns == docs.columns and max(uses.values()) <= 3 and set(uses) <= {r["doc_id"] for r in c.collect()}
+    taken, words = collections.Counter(), collections.Counter()
+    for r in mixing.mix(c).collect():
+        taken[r["source"]] += r["taken"]
+    for r in d.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert +words == +taken
     e = stage["pack"](spark, d, "").collect()
     assert collections.Counter(r["doc_id"] for r in e if r["piece"] == 0) == uses
     full = collections.Counter()
