@@ -29,12 +29,12 @@ def train(requests: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
 
 @dataclass(frozen=True)
 class Before:
-    """What earlier windows leave behind: recent windows of entities, clients and sums of prefixes, runs of decisions."""
+    """What earlier windows leave behind, and how many clients of prefixes are new to them: see streaming.detector.STATE."""
 
     recent: DataFrame
-    seen: DataFrame
     totals: DataFrame
     runs: DataFrame
+    new_clients: DataFrame
 
 
 def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = entities.TYPES, before: Before | None = None) -> DataFrame:
@@ -49,9 +49,8 @@ def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT
     # most entities share a few pairs of counts, such as no error in one request
     rows = rows.join(broadcast_if_small(baseline.posterior_table(metrics, base, cfg), "posterior", FEW), ["error_count", "total_requests"])
     counts = metrics.select(*KEY, "total_requests")
-    burst = rates.rate_state(counts if before is None else counts.unionByName(before.recent), cfg).select(*KEY, "s_burst")
-    clients, seen = prefixes.prefix_clients(grain, cfg), before.seen if before else None
-    per = prefixes.prefix_windows(clients, seen)
+    burst = rates.rate_state(counts if before is None else counts.unionByName(before.recent, allowMissingColumns=True), cfg).select(*KEY, "s_burst", "ewma")
+    per = prefixes.prefix_windows(prefixes.prefix_clients(grain, cfg), before.new_clients if before else None)
     state = prefixes.running_state(per if before is None else per.unionByName(before.totals))
     new = prefixes.new_content(paths, state, metrics, cfg)
     rows = rows.join(burst, KEY, "left").join(new, KEY, "left")
@@ -86,7 +85,8 @@ def score(signals: DataFrame, cfg: DetectConfig = DEFAULT, runs: DataFrame | Non
         return scoring.consensus(cfg, persist) & (scoring.final_score(cfg, persist) >= scoring.threshold(F.col("entity_type"), cfg))
 
     rows = signals.withColumn("verdicts", F.array(*[verdict(k) for k in range(persistence.FULL + 1)]))
-    rows = persistence.feedback(rows, before=runs).drop("verdicts")
+    # stored once: the streaks and the scores both read it
+    rows = persistence.feedback(materialise(rows, "verdicts"), before=runs).drop("verdicts")
     rows = rows.withColumn("s_persist", scoring.persistence_signal(F.col("streak")))
     return rows.withColumn("score", scoring.final_score(cfg)).withColumn("consensus", scoring.consensus(cfg))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logwarden.config import DEFAULT
 from logwarden.functions import network, parsing
 from logwarden.jobs import derived, detect, oracle, replay, report
-from logwarden.operators import baseline, entities, persistence, prefixes, rates, windows
+from logwarden.operators import baseline, distinct, entities, networks, persistence, prefixes, rates, windows
 from logwarden.sources import logs
 from logwarden.sources.scratch import materialise, scratch_dir
 
@@ -56,6 +56,11 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.entity_metrics(_grain(spark, sf_dir))
 
 
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of addresses and agents by window."""
+    return entities.by_entity(_grain(spark, sf_dir), ("ip", "ua")).groupBy(*KEY).agg(F.sum("n").alias("total_requests"))
+
+
 # --- sources and parsing -----------------------------------------------------------------------
 
 
@@ -222,6 +227,48 @@ def networks_hammering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("w", "entity_value", "total_requests", "window_requests", _r("dominance"), _r("hammer"))
 
 
+@query(
+    oracle.sql(
+        [oracle.REQ, "e AS (SELECT 'all' AS entity_type, 'all' AS entity_value, w, ip FROM win UNION ALL SELECT entity_type, entity_value, w, ip FROM ent WHERE entity_type IN ('ua', 'cidr'))"],
+        "SELECT entity_type, entity_value, w // 12 AS hour, count(DISTINCT ip) AS addresses, count(DISTINCT regexp_extract(ip, '^(.*)[.]', 1)) AS networks FROM e WHERE ip NOT LIKE '%:%' GROUP BY ALL",
+    )
+)
+def addresses_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct IPv4 addresses and /24 of agents, networks and the whole log by hour, merged from stored masks of five minutes."""
+    grain = _grain(spark, sf_dir).withColumn("all", F.lit("all"))
+    masks = materialise(distinct.host_masks(entities.by_entity(grain, ("ua", "cidr", "all")), ("entity_type", "entity_value", "w")), "masks")
+    hours = distinct.merged_masks(masks, {"entity_type": F.col("entity_type"), "entity_value": F.col("entity_value"), "hour": F.floor(F.col("w") / 12)})
+    return distinct.address_counts(hours, ("entity_type", "entity_value", "hour"))
+
+
+_LEVEL = "l{k} AS (SELECT {k} AS level, w, x{k} AS network, {above}sum(n) AS n, sum(errors) AS errors, sum(ips) AS ips, sum(rest) AS rest, sum(rest) >= 0.1::DOUBLE * any_value(window_requests) AS heavy FROM {rows} JOIN tot USING (w) GROUP BY w, x{k})"
+
+
+@query(
+    oracle.sql(
+        [
+            oracle.REQ,
+            """a AS (SELECT w, ip, count(*) AS n, count(*) FILTER (status >= 400) AS errors, 1 AS ips, count(*) AS rest,
+                 CASE WHEN ip LIKE '%:%' THEN ip || '/128' ELSE ip || '/32' END AS x0,
+                 CASE WHEN ip LIKE '%:%' THEN regexp_extract(ip, '^(.*::)', 1) || '/64' ELSE regexp_extract(ip, '^(.*)[.]', 1) || '.0/24' END AS x1,
+                 CASE WHEN ip LIKE '%:%' THEN regexp_extract(ip, '^([^:]*:[^:]*:[^:]*):', 1) || '::/48' ELSE regexp_extract(ip, '^([0-9]+[.][0-9]+)[.]', 1) || '.0.0/16' END AS x2,
+                 CASE WHEN ip LIKE '%:%' THEN regexp_extract(ip, '^([^:]*:[^:]*):', 1) || '::/32' ELSE regexp_extract(ip, '^([0-9]+)[.]', 1) || '.0.0.0/8' END AS x3 FROM win GROUP BY w, ip)""",
+            *[
+                _LEVEL.format(
+                    k=k, above="".join(f"any_value(x{j}) AS x{j}, " for j in range(k + 1, 4)),
+                    rows="a" if k == 0 else f"(SELECT * REPLACE (CASE WHEN heavy THEN 0 ELSE rest END AS rest) FROM l{k - 1})",
+                )
+                for k in range(4)
+            ],
+        ],
+        "SELECT level, w, network, n, errors, ips, rest, heavy FROM (" + " UNION ALL ".join(f"SELECT level, w, network, n, errors, ips, rest, heavy FROM l{k}" for k in range(4)) + ")",
+    )
+)
+def network_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of four lengths in one pass over the log, and which of them are heavy by themselves."""
+    return networks.network_levels(_grain(spark, sf_dir))
+
+
 # --- prefixes ----------------------------------------------------------------------------------
 
 _PREFIX_SQL = "SELECT {keys}depth, substr(path, 1, depth) AS prefix, count(*) AS hits, count(DISTINCT ip) AS unique_ips, count(DISTINCT ua) AS unique_uas, min(ts) AS tofs, round(count(*) FILTER (status >= 400) / count(*), 6) AS error_rate, count(*) FILTER (status_class = '3xx') AS n_3xx FROM {rows}, (SELECT unnest([2, 4, 6, 8, 16, 32, 64]) AS depth) WHERE length(path) >= depth GROUP BY ALL"
@@ -341,7 +388,7 @@ def error_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def rate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rates.rate_state(_metrics(spark, sf_dir))
+    rows = rates.rate_state(_totals(spark, sf_dir))
     return rows.select(*KEY, "session", *[_r(n) for n in ("rate", "ewma", "std", "deviation", "p_tail", "s_burst")], "anomalous")
 
 
@@ -358,7 +405,7 @@ _CUSUM = [
     )
 )
 def rate_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rates.cusum(rates.rate_state(_metrics(spark, sf_dir)))
+    rows = rates.cusum(rates.rate_state(_totals(spark, sf_dir)))
     return rows.select(*KEY, _r("cusum"), "alert", _r("cusum_score"))
 
 
@@ -509,6 +556,36 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.run_late_rows(rows.filter(~late), rows.filter(late))
 
 
+@query(
+    oracle.sql(
+        [oracle.REQ, "l AS (SELECT *, CAST(epoch(ts) AS BIGINT) % 7 = 3 AS comes_last, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start FROM r)", "e AS (SELECT max(ts) AS t FROM l WHERE NOT comes_last)",
+         "k AS (SELECT *, comes_last AND window_start + INTERVAL 5 MINUTE <= t - INTERVAL 10 MINUTE AS late, CAST(floor(epoch((t - INTERVAL 10 MINUTE) - (window_start + INTERVAL 5 MINUTE)) / 300) AS BIGINT) AS behind FROM l, e)"],
+        "SELECT window_start, ip, CASE WHEN late THEN behind END AS windows_late, count(*) AS n, count(*) FILTER (status >= 400) AS errors FROM k GROUP BY ALL",
+    )
+)
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the log comes last; what is too late for its window is kept apart, so that no request is lost."""
+    rows = derived.requests(spark, sf_dir).select("ts", "ip", "status")
+    last = F.unix_seconds("ts") % 7 == 3
+    return replay.run_counts(rows.filter(~last), rows.filter(last))
+
+
+@query(
+    oracle.sql(
+        [oracle.REQ],
+        """SELECT coalesce(fmt, '') AS fmt, reject, ip, path, status, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (
+             SELECT CASE WHEN sec % 2 = 0 THEN 'combined' ELSE 'cdn' END AS fmt, CAST(NULL AS VARCHAR) AS reject, ip, path, status, ts FROM r
+             UNION ALL SELECT NULL, CASE WHEN status = 503 THEN 'rotation' WHEN status = 404 THEN 'no match' ELSE 'blank' END, NULL, NULL, NULL, NULL FROM r WHERE sec % 60 = 0
+             UNION ALL SELECT 'combined', 'bad timestamp', NULL, NULL, NULL, NULL FROM r WHERE ua IS NULL) GROUP BY ALL""",
+    )
+)
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files of both formats, with lines that hold no request, parsed as they arrive: requests and rejects."""
+    good, bad = replay.run_lines(derived.mixed_lines(derived.requests(spark, sf_dir)))
+    rows = good.withColumn("reject", F.lit(None).cast("string")).unionByName(bad.select("fmt", "reject"), allowMissingColumns=True)
+    return rows.groupBy(F.coalesce("fmt", F.lit("")).alias("fmt"), "reject", "ip", "path", "status").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 @query(
     oracle.sql(
         [oracle.REQ, oracle.METRICS, oracle.RATES, *_CUSUM],

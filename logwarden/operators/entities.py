@@ -7,12 +7,12 @@ distinct combinations, not as its requests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.functions import network, scoring
-from logwarden.functions.parsing import deepest_depth, prefix_at
+from logwarden.functions.parsing import deepest_depth
 from logwarden.sources.scratch import materialise
 
 TYPES = ("ip", "ua", "cidr")
@@ -53,30 +53,70 @@ def path_grain(entities: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     return out.withColumn("depth", deepest_depth(F.col("path"), cfg.depths))
 
 
+def _opens(text: str, last: str, depth: int) -> Column:
+    """1 where a text begins another prefix of that depth than the one sorted before it."""
+    begins = F.coalesce(F.substring(last, 1, depth) != F.substring(text, 1, depth), F.lit(True))
+    return (F.coalesce(F.length(text) >= depth, F.lit(False)) & begins).cast("long")
+
+
+def path_metrics(paths: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
+    """Per entity and window: sums over its paths, the top path, and distinct prefixes of every depth.
+
+    Texts with a common beginning follow each other when sorted, so a path opens a new prefix exactly
+    where its first characters differ from its predecessor's. Paths are sorted within their common
+    beginning, so that an entity with half the log is dealt out by it; the beginnings themselves, one
+    row each, are sorted within the entity.
+    """
+    depths = sorted(cfg.depths)
+    split = depths[(len(depths) - 1) // 2] if depths else 0
+    own_prefixes = F.col("entity_type") != "cidr" if cfg.cidr_depth == "reference" else F.lit(True)
+    window = [*KEY, "window_start", "window_end"]
+    rows = paths.withColumn("stem", F.substring("path", 1, split))
+    rows = rows.withColumn("__last", F.lag("path").over(Window.partitionBy(*KEY, "stem").orderBy("path")))
+    counts = ["n", *[f"n_{s}" for s in STATUS], "depth_sum"]
+    stems = rows.withColumn("depth_sum", F.col("depth") * F.col("n")).groupBy(*window, "stem").agg(
+        *[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("paths"), F.max(F.struct("n", "path")).alias("top"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        *[F.sum(_opens("path", "__last", d)).alias(f"opens_{d}") for d in depths if d > split],
+    )
+    stems = stems.withColumn("__last", F.lag("stem").over(Window.partitionBy(*KEY).orderBy("stem")))
+    stems = stems.withColumns({f"opens_{d}": _opens("stem", "__last", d) for d in depths if d <= split})
+    return stems.groupBy(*window).agg(
+        F.sum("n").alias("total_requests"), (F.sum("n_4xx") + F.sum("n_5xx")).alias("error_count"), *[F.sum(f"n_{s}").alias(f"status_{s}") for s in STATUS],
+        F.sum("paths").alias("unique_paths"), F.max("top").alias("top"), F.sum(F.when(own_prefixes, F.col("depth_sum")).otherwise(0)).alias("depth_sum"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *[F.sum(F.when(own_prefixes, F.col(f"opens_{d}")).otherwise(0)).alias(f"uniq_prefix_{d}") for d in cfg.depths],
+    ).withColumn("top_path_count", F.col("top.n")).withColumn("top_path", F.col("top.path")).drop("top")
+
+
+#: What is counted of an entity besides its paths, and of which entity types.
+SIDES = {"ua": ("ip", "cidr"), "ip": ("ua", "cidr"), "ref": None, "verb": None}
+
+
+def side_metrics(entities: DataFrame, approximate: bool = False) -> DataFrame:
+    """Per entity and window: distinct agents, addresses and referrers, and requests by verb, in one pass."""
+    kind = F.col("entity_type")
+    value = lambda s: F.col(s) if SIDES[s] is None else F.when(kind.isin(*SIDES[s]), F.col(s))
+    pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("side"), value(s).alias("value")) for s in SIDES]), lambda x: x["value"].isNotNull())
+    counted = entities.select(*KEY, "n", F.explode(pairs).alias("__s")).groupBy(*KEY, "__s.side", "__s.value").agg(F.sum("n").alias("n"))
+    is_side = lambda s: F.col("side") == s
+    verbs = F.map_from_entries(F.sort_array(F.collect_list(F.when(is_side("verb"), F.struct(F.col("value").alias("verb"), "n")))))
+    if not approximate:
+        distinct = [F.count(F.when(is_side(s), 1)).alias(f"unique_{s}s") for s in ("ua", "ip", "ref")]
+        return counted.groupBy(*KEY).agg(*distinct, verbs.alias("methods"))
+    about = entities.groupBy(*KEY).agg(*[F.approx_count_distinct(value(s)).alias(f"unique_{s}s") for s in ("ua", "ip", "ref")])
+    own = entities.groupBy(*KEY, "verb").agg(F.sum("n").alias("n")).withColumns({"side": F.lit("verb"), "value": F.col("verb")})
+    return about.join(own.groupBy(*KEY).agg(verbs.alias("methods")), KEY)
+
+
 def entity_metrics(grain: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = TYPES, approximate: bool = False, paths: DataFrame | None = None) -> DataFrame:
     """One row per entity and window; see FIXTURES.md for the columns.
 
-    grain: see request_grain(). With ``approximate`` the distinct counts are HyperLogLog estimates,
-    for logs whose exact sets are too many to shuffle. paths: path_grain() of these types, if it is
-    stored already.
+    grain: see request_grain(). With ``approximate`` the distinct agents, addresses and referrers are
+    HyperLogLog estimates, for logs whose exact sets are too many to shuffle; paths and their
+    prefixes are exact. paths: path_grain() of these types, if it is stored already.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     entities = by_entity(grain, types)
     paths = materialise(path_grain(entities, cfg), "paths") if paths is None else paths
-    own_prefixes = F.col("entity_type") != "cidr" if cfg.cidr_depth == "reference" else F.lit(True)
-    fan = [distinct(F.when(own_prefixes, prefix_at(F.col("path"), d))).alias(f"uniq_prefix_{d}") for d in cfg.depths]
-    sums = paths.groupBy(*KEY, "window_start", "window_end").agg(
-        F.sum("n").alias("total_requests"), (F.sum("n_4xx") + F.sum("n_5xx")).alias("error_count"), *[F.sum(f"n_{s}").alias(f"status_{s}") for s in STATUS],
-        F.count(F.lit(1)).alias("unique_paths"), F.max("n").alias("top_path_count"), F.max_by("path", F.struct("n", "path")).alias("top_path"),
-        F.sum(F.when(own_prefixes, F.col("depth") * F.col("n")).otherwise(0)).alias("depth_sum"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-    )
-    fans = paths.groupBy(*KEY).agg(*fan)
-    kind = F.col("entity_type")
-    sides = entities.groupBy(*KEY).agg(
-        distinct(F.when(kind.isin("ip", "cidr"), F.col("ua"))).alias("unique_uas"), distinct(F.when(kind.isin("ua", "cidr"), F.col("ip"))).alias("unique_ips"), distinct("ref").alias("unique_refs")
-    )
-    verbs = entities.groupBy(*KEY, "verb").agg(F.sum("n").alias("n")).groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("verb", "n")))).alias("methods"))
-    out = sums.join(fans, KEY).join(sides, KEY).join(verbs, KEY)
+    out = path_metrics(paths, cfg).join(side_metrics(entities, approximate), KEY)
     total = F.col("total_requests")
     return out.withColumns(
         {

@@ -46,16 +46,14 @@ def prefix_clients(grain: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     )
 
 
-def prefix_windows(clients: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def prefix_windows(clients: DataFrame, new_clients: DataFrame | None = None) -> DataFrame:
     """(prefix, w, n, errors, ts, new_ips): an address is new in the window of its first hit on the prefix.
 
-    seen: (prefix, ip) pairs of earlier windows, if these are not the first.
+    new_clients: (prefix, w, new_ips), if earlier windows are not among ``clients`` but known elsewhere.
     """
-    first = clients.groupBy("prefix", "ip").agg(F.min("w").alias("w"))
-    if seen is not None:
-        first = first.join(seen, ["prefix", "ip"], "left_anti")
-    first = first.groupBy("prefix", "w").agg(F.count(F.lit(1)).alias("new_ips"))
-    per = clients.groupBy("prefix", "w").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.min("ts").alias("ts")).join(first, ["prefix", "w"], "left")
+    if new_clients is None:
+        new_clients = clients.groupBy("prefix", "ip").agg(F.min("w").alias("w")).groupBy("prefix", "w").agg(F.count(F.lit(1)).alias("new_ips"))
+    per = clients.groupBy("prefix", "w").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.min("ts").alias("ts")).join(new_clients, ["prefix", "w"], "left")
     return per.select("prefix", "w", "n", "errors", "ts", F.coalesce("new_ips", F.lit(0)).cast("long").alias("new_ips"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 #: What is written once and read soon: a dense codec, and row groups that keep a writer's memory small.
 FORMAT = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_scopes: list[list[tuple[SparkSession, str]]] = []
+#: Open scopes, innermost last. A thread has its own: it never deletes another's tables.
+_scopes: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scopes", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,8 +38,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    for scope in _scopes.get()[-1:]:
+        scope.append((spark, path))
     df.write.options(**FORMAT).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
@@ -50,6 +52,17 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def folders(spark: SparkSession, path: str, holding: str = "") -> list[str]:
+    """Names of the folders in a folder of the shared store, of those that hold a file of that name if one is given."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    found = [s.getPath() for s in store.listStatus(place) if s.isDirectory()]
+    return [p.getName() for p in found if not holding or store.exists(hadoop.Path(p, holding))]
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables that materialise() wrote and nothing reads any more; other frames are left alone."""
     for frame in frames:
@@ -60,16 +73,18 @@ def release(*frames: DataFrame) -> None:
 
 @contextmanager
 def temporary_tables(*keep: str) -> Iterator[None]:
-    """Delete, at the end, the tables written inside, but for those whose name is in ``keep``."""
-    _scopes.append([])
+    """Delete, at the end, the tables that this thread wrote inside, but for those whose name is in ``keep``."""
+    outer, own = _scopes.get(), []
+    opened = _scopes.set((*outer, own))
     try:
         yield
     finally:
-        for spark, path in _scopes.pop():
+        _scopes.reset(opened)
+        for spark, path in own:
             if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] not in keep:
                 delete(spark, path)
-            elif _scopes:
-                _scopes[-1].append((spark, path))
+            elif outer:
+                outer[-1].append((spark, path))
 
 
 def broadcast_if_small(df: DataFrame, name: str, most_rows: int) -> DataFrame:

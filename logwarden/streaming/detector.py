@@ -2,37 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.jobs import detect
 from logwarden.operators import entities, prefixes, rates
-from logwarden.sources.scratch import delete, materialise, temporary_tables
+from logwarden.sources.scratch import materialise, temporary_tables
+from logwarden.streaming.clients import with_new_clients
 from logwarden.streaming.rates import DELAY
+from logwarden.streaming.versions import drop_versions, last_version, write_version
 
-#: The state tables. ``seen`` is added to, batch by batch; of the others each batch writes a new version.
+#: The state tables, of which a batch with closed windows writes a new version; the last one tells that all are whole.
 STATE = {
-    "recent": "entity_type string, entity_value string, w long, total_requests long",
-    "seen": "prefix string, ip string",
+    "recent": "entity_type string, entity_value string, w long, total_requests long, known_ewma double",
     "totals": "prefix string, w long, n long, errors long, ts timestamp, new_ips long",
     "runs": "entity_type string, entity_value string, run long",
 }
+#: Settings of keyed state: kept by RocksDB, whose changes are what a batch writes.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-@contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started inside keep their state in RocksDB, as keyed state needs."""
-    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
-    spark.conf.set(name, store)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def use_state_store(spark: SparkSession) -> None:
+    """Streams that this session starts from now on keep their state in RocksDB, as keyed state needs.
+
+    Set once and left so: streams that are started at the same time do not undo each other's setting.
+    """
+    for name, value in STORE.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
 
 
 def grain_counts(requests: DataFrame, anchor_sec: int = 0, delay: str = DELAY, window_sec: int = 300) -> DataFrame:
@@ -42,71 +43,55 @@ def grain_counts(requests: DataFrame, anchor_sec: int = 0, delay: str = DELAY, w
     return rows.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def _version(spark: SparkSession, path: str, name: str, number: int) -> DataFrame:
-    """A state table as the batch before ``number`` left it; ``seen``: all that the batches before it added."""
-    if not number:
-        return spark.createDataFrame([], STATE[name])
-    if name == "seen":
-        return spark.read.schema(f"{STATE[name]}, batch long").parquet(f"{path}/seen").filter(F.col("batch") < number).drop("batch")
-    return spark.read.schema(STATE[name]).parquet(f"{path}/{name}/batch={number - 1}")
-
-
 def _carry_on(before: detect.Before, grain: DataFrame, scored: DataFrame, cfg: DetectConfig) -> dict[str, DataFrame]:
     """The state tables after the windows of ``grain``.
 
-    ``recent`` keeps, of entities that a pruning would still find, the rows that averages reach back
-    to; ``runs`` those entities whose last window was decided.
+    ``recent`` keeps, of entities that a pruning would still find, as many windows as deviations reach
+    back to and the average after the last of them; ``runs`` those entities whose last window was decided.
     """
     key, n = list(rates.KEY), cfg.idle_windows
     own = Window.partitionBy(*key).orderBy(F.col("w").desc())
     latest = scored.agg(F.max("w").alias("latest"))
-    counts = scored.filter(F.col("entity_type").isin("ip", "ua")).select(*key, "w", "total_requests").unionByName(before.recent)
-    counts = counts.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= rates.FRAME)
+    counts = scored.filter(F.col("entity_type").isin("ip", "ua")).select(*key, "w", "total_requests", F.col("ewma").alias("known_ewma")).unionByName(before.recent)
+    counts = counts.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= max(1, cfg.rate_history))
     counts = counts.withColumn("__last", F.max("w").over(Window.partitionBy(*key))).join(F.broadcast(latest)).filter(F.coalesce(F.col("__last") + 2 * n + 1 > F.col("latest"), F.lit(True)))
-    clients = prefixes.prefix_clients(grain, cfg)
-    per = prefixes.prefix_windows(clients, before.seen).unionByName(before.totals)
+    per = prefixes.prefix_windows(prefixes.prefix_clients(grain, cfg), before.new_clients).unionByName(before.totals)
     totals = per.groupBy("prefix").agg(F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.min("ts").alias("ts"), F.sum("new_ips").alias("new_ips"))
     last = scored.withColumn("__n", F.row_number().over(own)).filter("__n = 1").select(*key, F.when(F.col("decided"), F.col("streak") + 1).otherwise(0).cast("long").alias("run"))
     runs = last.unionByName(before.runs.join(last, key, "left_anti")).filter("run > 0")
-    return {
-        "recent": counts.select(*key, "w", "total_requests"), "totals": totals, "runs": runs,
-        "seen": clients.select("prefix", "ip").distinct().join(before.seen, ["prefix", "ip"], "left_anti"),
-    }
-
-
-def _store(spark: SparkSession, path: str, number: int, after: dict[str, DataFrame]) -> None:
-    for name, table in after.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        if number > 1 and name != "seen":
-            delete(spark, f"{path}/{name}/batch={number - 2}")
+    return {"recent": counts.select(*key, "w", "total_requests", "known_ewma"), "totals": totals, "runs": runs}
 
 
 def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str, cfg: DetectConfig = DEFAULT, delay: str = DELAY):
-    """Start the streaming detector; returns the query.
-
-    A batch takes the windows that closed, as counts, and scores them on the state tables of the
-    batch before: at most FRAME windows of every entity not yet idle, the sums of every prefix and
-    its known clients, and runs of decisions. No request or count is read twice. Decisions and state
-    are stored under the batch's number, so a repeated batch replaces its own output; versions older
-    than the batch before are deleted. Folders: path/decisions, path/seen, path/recent, path/totals,
-    path/runs, path/state.
+    """Start the streaming detector; returns the query. Needs use_state_store() first.
+
+    Windows that closed arrive as counts, through keyed state that knows every prefix's clients and
+    is asked about the batch's own only. They are scored on the state tables of the last batch that
+    had any: recent windows of every entity not yet idle, the sums of every prefix, and runs of
+    decisions. No request, count or client is read twice, and a batch without a closed window reads
+    and writes no table. Decisions and state are stored under the batch's number, so a repeated
+    batch replaces its own output; of versions, the one before stays as well, for a batch that is
+    repeated. Folders: path/decisions, path/recent, path/totals, path/runs, path/state.
     """
     sec = cfg.window_sec
 
     def closed(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        start, end = F.col("win.start"), F.col("win.end")
-        rows = batch.withColumns({"window_start": start, "window_end": end, "w": F.round((F.unix_micros(start) / 1e6 - t0) / sec).cast("long")}).drop("win")
         with temporary_tables():
-            grain = materialise(entities.add_network(rows, cfg), "grain")
-            before = detect.Before(**{name: _version(spark, path, name, number) for name in STATE})
+            rows = materialise(batch, "closed")
+            grain = rows.filter("n is not null").drop("prefix", "new_ips")
             if grain.isEmpty():
-                # no window closed: the state stays as it is
-                _store(spark, path, number, {n: spark.createDataFrame([], STATE[n]) if n == "seen" else getattr(before, n) for n in STATE})
                 return
+            grain = entities.add_network(grain, cfg)
+            last, state = last_version(spark, path, STATE, number)
+            new = rows.filter("new_ips is not null").groupBy("prefix", "w").agg(F.sum("new_ips").alias("new_ips"))
+            before = detect.Before(**state, new_clients=new)
             scored = materialise(detect.score(detect.base_signals(grain, table, cfg, before=before), cfg, before.runs), "scored")
             detect.decisions(scored).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
-            _store(spark, path, number, _carry_on(before, grain, scored, cfg))
+            write_version(path, number, _carry_on(before, grain, scored, cfg))
+            drop_versions(spark, path, STATE, (last, number))
 
     counts = grain_counts(requests, int(t0) % sec, delay, sec)
-    return counts.writeStream.foreachBatch(closed).outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    start, end = F.col("win.start"), F.col("win.end")
+    rows = counts.withColumns({"window_start": start, "window_end": end, "w": F.round((F.unix_micros(start) / 1e6 - t0) / sec).cast("long")}).drop("win")
+    return with_new_clients(rows, cfg).writeStream.foreachBatch(closed).outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

@@ -11,6 +11,7 @@ from logwarden.config import DetectConfig
 from logwarden.jobs import detect, replay, report
 from logwarden.operators import entities, prefixes, rates, windows
 from logwarden.sources import logs
+from logwarden.streaming import detector
 
 T0 = dt.datetime(2025, 9, 25, 19)
 SCHEMA = "ts timestamp, ip string, ua string, ref string, path string, verb string, status int, status_class string"
@@ -112,6 +113,36 @@ def test_streaming_equals_batch(spark):
     assert key(replay.run_detector(bot_log(spark), cfg)) == key(detect.detect(bot_log(spark), cfg))
 
 
+def test_streamed_averages_reach_back_without_end(spark):
+    """A slow average and a long history over many windows and batches: the stream equals the batch."""
+    cfg = DetectConfig(n_hammer_min=20, ewma_alpha=0.02, rate_history=40, thresholds={"ip": 10.0, "ua": 10.0, "cidr": 10.0})
+    rows = [(300 * w + k, f"1.1.1.{k % 2}", "ua", f"/page/{k % 3}", 404) for w in range(60) for k in range(30 if w < 10 else 4 + w % 5)]
+    frame = log(spark, rows)
+    key = lambda f: sorted((r["w"], r["entity_type"], r["entity_value"], round(r["score"], 8), r["streak"]) for r in f.collect())
+    want = key(detect.detect(frame, cfg))
+    assert want and key(replay.run_detector(frame, cfg, parts=4)) == want
+
+
+def test_stream_reads_no_more_as_it_goes_on(spark, tmp_path):
+    """Every batch has the same traffic of known clients; what it reads of the state does not grow with its number."""
+    cfg, t0 = DetectConfig(n_hammer_min=50), T0.replace(tzinfo=dt.UTC).timestamp()
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [(k * 2, f"10.0.{k % 60}.{k % 7}", f"ua{k % 5}", f"/page/{k % 40}", 200) for k in range(1800)]
+    table = detect.train(log(spark, rows), cfg)
+    detector.use_state_store(spark)
+    sizes, clients = [], []
+    for hour in range(6):
+        log(spark, [(s + 3600 * hour, *rest) for s, *rest in rows]).write.mode("append").parquet(source)
+        query = detector.start_detector(spark.readStream.schema(SCHEMA).parquet(source), table, t0, out, cfg)
+        query.awaitTermination()
+        state = [sum(p.stat().st_size for p in (tmp_path / "out" / name).rglob("*.parquet")) for name in detector.STATE]
+        sizes.append(sum(state))
+        clients.append(sum(o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]))
+        assert not (tmp_path / "out" / "seen").exists()
+    assert clients[0] > 0 and clients[1] == clients[-1]
+    assert max(sizes[2:]) <= 1.25 * sizes[2], sizes
+
+
 def test_late_rows_are_dropped(spark):
     early, late = log(spark, [(0, "1.1.1.1", None, "/", 200), (7200, "1.1.1.1", None, "/", 200)]), log(spark, [(10, "2.2.2.2", None, "/", 200), (7100, "3.3.3.3", None, "/", 200)])
     got = replay.run_late_rows(early.select("ts", "ip", "status"), late.select("ts", "ip", "status"))

@@ -1,0 +1,206 @@
+"""Operators that scan, select or count without gathering: medians by rank, averages, run maps, sorted neighbours, tails."""
+
+from __future__ import annotations
+
+import math
+import random
+import statistics
+import threading
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from logwarden.config import DetectConfig
+from logwarden.functions import special, tails
+from logwarden.operators import entities, persistence, rates, selection
+from logwarden.sources import scratch
+
+# --- medians -------------------------------------------------------------------------------------
+
+
+def test_medians_of_odd_cases(spark):
+    rng = random.Random(1)
+    groups = {
+        "one": [3.5], "two": [1.0, 2.0], "ties": [1.0] * 500 + [2.0] * 500, "nearly ties": [1.0] * 501 + [2.0] * 500, "spread": [10.0 ** rng.randrange(-300, 300) * rng.choice([-1, 1]) for _ in range(2001)],
+        "random": [rng.random() for _ in range(3000)], "same": [7.0] * 1000, "tiny": [5e-324, 0.0, -5e-324], "even": [float(k) for k in range(1000)], "infinite": [-math.inf, 1.0, math.inf, math.inf],
+    }
+    rows = [(m, v) for m, values in groups.items() for v in values] + [("ties", None), ("only null", None)]
+    frame = spark.createDataFrame(rows, "metric string, value double").repartition(6)
+    want = {m: (len(v), statistics.median(v)) for m, v in groups.items()}
+    for few in (100_000, 50, 1):
+        got = {r["metric"]: (r["n"], r["median"]) for r in selection.medians(frame, few).collect()}
+        assert got == want
+    assert selection.medians(frame.limit(0)).count() == 0
+
+
+def test_median_of_ten_million_values_gathers_few(spark):
+    """No stage's tasks hold more than a bounded part of a metric's values; the sketch brackets the middle."""
+    n = 10_000_000
+    # a permutation of 0 .. n - 1, so that the median is known
+    frame = spark.range(n, numPartitions=8).select(F.lit("m").alias("metric"), ((F.col("id") * 7_368_787 + 11) % n).cast("double").alias("value"))
+    found = selection.medians(frame)
+    assert [tuple(r) for r in found.collect()] == [("m", n, (n - 1) / 2)]
+    low = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in low.lower() and "collect" not in low.lower()
+    bracket = selection._narrow(frame, {"m": selection.Bracket(n, 0.0, n - 1.0, 0, n)})["m"]
+    assert bracket.holds(bracket.below, bracket.inside) and bracket.inside < n / 1000
+
+
+# --- averages ------------------------------------------------------------------------------------
+
+
+def series(spark, counts, entity="x", **columns):
+    rows = [("ip", entity, k, int(n)) for k, n in enumerate(counts)]
+    return spark.createDataFrame(rows, "entity_type string, entity_value string, w long, total_requests long").withColumns({k: F.lit(v) for k, v in columns.items()})
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.01, 0.9, 0.999, 1.0])
+def test_averages_equal_a_fold_over_long_histories(spark, alpha):
+    rng = np.random.default_rng(5)
+    counts = np.where(np.arange(5000) < 100, 10, 1) * rng.integers(1, 3000, 5000)
+    cfg = DetectConfig(ewma_alpha=alpha)
+    got = rates.cusum(rates.rate_state(series(spark, counts), cfg), cfg).orderBy("w").collect()
+    e, s = None, 0.0
+    for r, n in zip(got, counts, strict=True):
+        x = n / 300
+        e = x if e is None else alpha * x + (1 - alpha) * e
+        s = max(0.0, s + (x - e) / max(r["std"], 1e-6) - 2)
+        assert r["ewma"] == pytest.approx(e, rel=1e-12)
+        assert r["cusum"] == pytest.approx(s, rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError):
+        rates.averages(series(spark, [1]), ["entity_value"], 0.0)
+
+
+def test_averages_go_on_from_known_ones(spark):
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 900, 60)
+    cfg = DetectConfig(ewma_alpha=0.05, rate_history=20)
+    whole = rates.rate_state(series(spark, counts), cfg).orderBy("w").collect()
+    known = spark.createDataFrame([("ip", "x", k, int(counts[k]), whole[k]["ewma"]) for k in range(20, 40)], "entity_type string, entity_value string, w long, total_requests long, known_ewma double")
+    later = series(spark, counts).filter("w >= 40").withColumn("known_ewma", F.lit(None).cast("double"))
+    fresh = series(spark, [5, 6], entity="new").withColumn("w", F.col("w") + 41).withColumn("known_ewma", F.lit(None).cast("double"))
+    got = {(r["entity_value"], r["w"]): r for r in rates.rate_state(known.unionByName(later).unionByName(fresh), cfg).collect()}
+    for r in whole[40:]:
+        own = got["x", r["w"]]
+        assert [own[c] for c in ("ewma", "std", "p_tail", "s_burst")] == pytest.approx([r[c] for c in ("ewma", "std", "p_tail", "s_burst")], rel=1e-12)
+    assert got["new", 41]["ewma"] == 5 / 300
+
+
+def test_rates_have_no_lists_and_no_python(spark):
+    plan = rates.rate_state(series(spark, [1, 2]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Python" not in plan and "Union" not in plan
+
+
+# --- runs of decisions ---------------------------------------------------------------------------
+
+
+def fold(rows, runs):
+    run, want = dict(runs), {}
+    for e, w, v in sorted(rows):
+        n = run.get(e, 0)
+        want[e, w] = (n, v[min(n, 5)])
+        run[e] = n + 1 if v[min(n, 5)] else 0
+    return want
+
+
+def test_feedback_equals_a_fold_for_any_verdicts(spark):
+    """Also where a longer streak speaks against a decision, over long series and with runs from before."""
+    rng = random.Random(3)
+    rows = [(f"e{e}", w, [rng.random() < p for _ in range(6)]) for e, (n, p) in enumerate([(1000, 0.5), (300, 0.9), (129, 0.97), (64, 1.0), (40, 0.02), (1, 1.0), (7, 0.0), (9, 0.0), (500, 0.8)]) for w in sorted(rng.sample(range(1500), n))]
+    runs = {"e1": 3, "e2": 12, "e3": 5, "e7": 4, "gone": 9}
+    frame = spark.createDataFrame([("ip", *r) for r in rows], "entity_type string, entity_value string, w long, verdicts array<boolean>")
+    before = spark.createDataFrame([("ip", e, n) for e, n in runs.items()], "entity_type string, entity_value string, run long")
+    for given, known in ((None, {}), (before, runs)):
+        made = persistence.feedback(frame, before=given)
+        assert made.columns == [*frame.columns, "streak", "decided"]
+        assert {(r["entity_value"], r["w"]): (r["streak"], r["decided"]) for r in made.collect()} == fold(rows, known)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "collect" not in plan
+    assert persistence.feedback(frame.limit(0)).count() == 0
+
+
+# --- paths as sorted neighbours ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("depths", [(2, 4, 6, 8, 16, 32, 64), (1, 3), (5,)])
+def test_path_metrics_equal_distinct_counts(spark, depths):
+    rng = random.Random(7)
+    pieces = ["/", "a", "b", "é", "日", "😀", "ab", "/x", "//"]
+    paths = {"".join(rng.choices(pieces, k=rng.choice([0, 1, 2, 5, 20, 60]))) for _ in range(400)} | {"", "/", "/a", "/ab", "/abc", "/abd"}
+    rows = [(t, e, w, p, rng.randrange(1, 9)) for t, e, w in [("ip", "1", 0), ("ip", "1", 1), ("ua", "m", 0), ("cidr", "c", 0)] for p in rng.sample(sorted(paths), rng.randrange(100, 300))]
+    frame = spark.createDataFrame(rows, "entity_type string, entity_value string, w long, path string, n long")
+    frame = frame.withColumns({c: F.lit(0).cast("long") for c in ("n_2xx", "n_3xx", "n_4xx", "n_5xx", "window_start", "window_end", "first_seen", "last_seen")}).withColumn("depth", F.length("path"))
+    got = {(r["entity_type"], r["entity_value"], r["w"]): r for r in entities.path_metrics(frame, DetectConfig(depths=depths)).collect()}
+    for t, e, w in {r[:3] for r in rows}:
+        own, r = [(p, n) for a, b, c, p, n in rows if (a, b, c) == (t, e, w)], got[t, e, w]
+        assert (r["total_requests"], r["unique_paths"]) == (sum(n for _, n in own), len(own))
+        assert (r["top_path_count"], r["top_path"]) == max((n, p.encode()) for p, n in own)[:1] + (max((n, p.encode(), p) for p, n in own)[2],)
+        assert [r[f"uniq_prefix_{d}"] for d in depths] == [0 if t == "cidr" else len({p[:d] for p, _ in own if len(p) >= d}) for d in depths]
+
+
+def test_entity_metrics_expand_nothing(spark):
+    grain = spark.createDataFrame([], "w long, window_start timestamp, window_end timestamp, ip string, ua string, ref string, path string, verb string, status_class string, n long, first_seen timestamp, last_seen timestamp, cidr string")
+    assert "Expand" not in entities.entity_metrics(grain)._jdf.queryExecution().optimizedPlan().toString()
+
+
+# --- tails ---------------------------------------------------------------------------------------
+
+
+def test_log_gamma(spark):
+    xs = [1e-6, 0.1, 0.5, 1.0, 1.5, 2.0, 3.3, 9.99, 10.0, 10.5, 57.0, 1234.5, 1e6, 1e12]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", tails.log_gamma(F.col("x")).alias("g")).collect()
+    for r in got:
+        assert r["g"] == pytest.approx(math.lgamma(r["x"]), rel=1e-13, abs=2e-13)
+
+
+def test_poisson_tail(spark):
+    rng = np.random.default_rng(4)
+    lam = np.concatenate([rng.uniform(0, 3, 100), rng.uniform(0, 900, 200), [1e4, 1e6, 1e6, 1e6, 0.0, -1.0, 2.0, 1e-9]])
+    value = np.concatenate([rng.uniform(0, 12, 100), rng.uniform(0, 1200, 200), [1.02e4, 1e6, 1.003e6, 9.98e5, 3.0, 1.0, -0.5, 0.0]])
+    got = spark.createDataFrame(list(zip(value.tolist(), lam.tolist(), strict=True)), "v double, r double").select(tails.poisson_tail(F.col("v"), F.col("r")).alias("p")).collect()
+    assert [r["p"] for r in got] == pytest.approx(special.poisson_tail(value, lam).tolist(), abs=1e-9)
+
+
+def test_beta_cdf(spark):
+    rng = np.random.default_rng(8)
+    a, b = 10 ** rng.uniform(-0.3, 4.5, 300), 10 ** rng.uniform(-0.3, 4.5, 300)
+    x = np.clip(a / (a + b) + rng.normal(0, 3, 300) * np.sqrt(a * b / (a + b + 1)) / (a + b), 0.0, 1.0)
+    x[:3] = [0.0, 1.0, 0.5]
+    cdf = lambda *args: [r["p"] for r in spark.createDataFrame(list(zip(*[v.tolist() for v in args], strict=True)), "x double, a double, b double").select(tails.beta_cdf(F.col("x"), F.col("a"), F.col("b")).alias("p")).collect()]
+    assert cdf(x, a, b) == pytest.approx(special.beta_cdf(x, a, b).tolist(), abs=1e-9)
+    # millions of requests: the two tails make up one
+    a, b = 10 ** rng.uniform(5, 7, 12), 10 ** rng.uniform(5, 7, 12)
+    x = a / (a + b) * (1 + rng.normal(0, 1e-4, 12))
+    assert np.array(cdf(x, a, b)) + np.array(cdf(1 - x, b, a)) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_beta_quantile(spark):
+    rng = np.random.default_rng(9)
+    a, b = 10 ** rng.uniform(-0.3, 4, 80), 10 ** rng.uniform(-0.3, 4, 80)
+    mass = rng.choice([0.025, 0.5, 0.975, 1e-6], 80)
+    got = spark.createDataFrame(list(zip(mass.tolist(), a.tolist(), b.tolist(), strict=True)), "m double, a double, b double").select(tails.beta_quantile(F.col("m"), F.col("a"), F.col("b")).alias("q")).collect()
+    assert [r["q"] for r in got] == pytest.approx(special.beta_quantile(mass, a, b).tolist(), abs=1e-9)
+
+
+# --- scratch tables ------------------------------------------------------------------------------
+
+
+def test_scopes_are_a_threads_own(spark):
+    inside, written, kept = threading.Event(), threading.Event(), {}
+
+    def other():
+        inside.wait(60)
+        kept["table"] = scratch.materialise(spark.range(5), "other")
+        written.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch.temporary_tables("kept"):
+        own, staying = scratch.materialise(spark.range(3), "own"), scratch.materialise(spark.range(4), "kept")
+        inside.set()
+        assert written.wait(60)
+    thread.join()
+    assert kept["table"].count() == 5 and staying.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        own.count()
