@@ -1,4 +1,4 @@
-"""Settings of the detector; the values are those of the published method."""
+"""Settings of the detector. The defaults are those of the published method."""
 
 from __future__ import annotations
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logwarden.config import DEFAULT
 from logwarden.functions import network, parsing
 from logwarden.jobs import derived, detect, oracle, replay, report
-from logwarden.operators import baseline, distinct, entities, networks, persistence, prefixes, rates, windows
+from logwarden.operators import baseline, distinct, entities, heavy, networks, persistence, prefixes, rates, windows
 from logwarden.sources import logs
 from logwarden.sources.scratch import materialise, scratch_dir
 
@@ -241,6 +241,17 @@ def addresses_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.address_counts(hours, ("entity_type", "entity_value", "hour"))
 
 
+_TOP = "t{i} AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_value ORDER BY n DESC, value) AS rank FROM (SELECT entity_type, entity_value, '{v}' AS kind, {v} AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY entity_type, entity_value) AS total FROM ent WHERE {v} IS NOT NULL GROUP BY ALL))"
+
+
+@query(oracle.sql([oracle.REQ, *[_TOP.format(i=i, v=v) for i, v in enumerate(("path", "verb", "ref"))]], " UNION ALL ".join(f"SELECT entity_type, entity_value, kind, value, n, CAST(total AS BIGINT) AS total, CAST(rank AS INT) AS rank FROM t{i} WHERE rank <= 3" for i in range(3))))
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent paths, verbs and referrers of every entity over the whole log."""
+    rows = materialise(entities.by_entity(_grain(spark, sf_dir)).select("entity_type", "entity_value", "path", "verb", "ref", "n"), "entities")
+    tops = [heavy.top_values(rows, ("entity_type", "entity_value"), v, "n", 3).withColumnRenamed(v, "value").withColumn("kind", F.lit(v)) for v in ("path", "verb", "ref")]
+    return tops[0].unionByName(tops[1]).unionByName(tops[2])
+
+
 _LEVEL = "l{k} AS (SELECT {k} AS level, w, x{k} AS network, {above}sum(n) AS n, sum(errors) AS errors, sum(ips) AS ips, sum(rest) AS rest, sum(rest) >= 0.1::DOUBLE * any_value(window_requests) AS heavy FROM {rows} JOIN tot USING (w) GROUP BY w, x{k})"
 
 

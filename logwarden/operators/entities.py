@@ -70,18 +70,19 @@ def path_metrics(paths: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
     depths = sorted(cfg.depths)
     split = depths[(len(depths) - 1) // 2] if depths else 0
     own_prefixes = F.col("entity_type") != "cidr" if cfg.cidr_depth == "reference" else F.lit(True)
-    window = [*KEY, "window_start", "window_end"]
+    # a window's bounds go with its number; grouped by the sort keys alone, nothing is sorted twice
+    spans = [F.min(c).alias(c) for c in ("window_start", "window_end")]
     rows = paths.withColumn("stem", F.substring("path", 1, split))
     rows = rows.withColumn("__last", F.lag("path").over(Window.partitionBy(*KEY, "stem").orderBy("path")))
     counts = ["n", *[f"n_{s}" for s in STATUS], "depth_sum"]
-    stems = rows.withColumn("depth_sum", F.col("depth") * F.col("n")).groupBy(*window, "stem").agg(
-        *[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("paths"), F.max(F.struct("n", "path")).alias("top"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+    stems = rows.withColumn("depth_sum", F.col("depth") * F.col("n")).groupBy(*KEY, "stem").agg(
+        *spans, *[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("paths"), F.max(F.struct("n", "path")).alias("top"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         *[F.sum(_opens("path", "__last", d)).alias(f"opens_{d}") for d in depths if d > split],
     )
     stems = stems.withColumn("__last", F.lag("stem").over(Window.partitionBy(*KEY).orderBy("stem")))
     stems = stems.withColumns({f"opens_{d}": _opens("stem", "__last", d) for d in depths if d <= split})
-    return stems.groupBy(*window).agg(
-        F.sum("n").alias("total_requests"), (F.sum("n_4xx") + F.sum("n_5xx")).alias("error_count"), *[F.sum(f"n_{s}").alias(f"status_{s}") for s in STATUS],
+    return stems.groupBy(*KEY).agg(
+        *spans, F.sum("n").alias("total_requests"), (F.sum("n_4xx") + F.sum("n_5xx")).alias("error_count"), *[F.sum(f"n_{s}").alias(f"status_{s}") for s in STATUS],
         F.sum("paths").alias("unique_paths"), F.max("top").alias("top"), F.sum(F.when(own_prefixes, F.col("depth_sum")).otherwise(0)).alias("depth_sum"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *[F.sum(F.when(own_prefixes, F.col(f"opens_{d}")).otherwise(0)).alias(f"uniq_prefix_{d}") for d in cfg.depths],
     ).withColumn("top_path_count", F.col("top.n")).withColumn("top_path", F.col("top.path")).drop("top")

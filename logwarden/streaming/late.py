@@ -34,7 +34,9 @@ def start_counts(requests: DataFrame, path: str, delay: str = DELAY, window_sec:
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         with temporary_tables():
-            rows = batch.select("ip", F.window("ts", f"{window_sec} seconds")["start"].alias("window_start"), "ts", F.lit(1).alias("n"), F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0)).alias("errors"))
+            micros = F.unix_micros("ts")
+            start = F.timestamp_micros(micros - F.pmod(micros, F.lit(window_sec * 1_000_000)))
+            rows = batch.select("ip", start.alias("window_start"), "ts", F.lit(1).alias("n"), F.coalesce((F.col("status") >= 400).cast("long"), F.lit(0)).alias("errors"))
             rows = materialise(rows.groupBy("window_start", "ip").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.max("ts").alias("ts")), "arrived")
             if rows.isEmpty():
                 return

@@ -115,12 +115,12 @@ def test_streaming_equals_batch(spark):
 
 def test_streamed_averages_reach_back_without_end(spark):
     """A slow average and a long history over many windows and batches: the stream equals the batch."""
-    cfg = DetectConfig(n_hammer_min=20, ewma_alpha=0.02, rate_history=40, thresholds={"ip": 10.0, "ua": 10.0, "cidr": 10.0})
-    rows = [(300 * w + k, f"1.1.1.{k % 2}", "ua", f"/page/{k % 3}", 404) for w in range(60) for k in range(30 if w < 10 else 4 + w % 5)]
+    cfg = DetectConfig(n_hammer_min=20, ewma_alpha=0.02, rate_history=20, thresholds={"ip": 10.0, "ua": 10.0, "cidr": 10.0})
+    rows = [(300 * w + k, f"1.1.1.{k % 2}", "ua", f"/page/{k % 3}", 404) for w in range(45) for k in range(30 if w < 10 else 4 + w % 5)]
     frame = log(spark, rows)
     key = lambda f: sorted((r["w"], r["entity_type"], r["entity_value"], round(r["score"], 8), r["streak"]) for r in f.collect())
     want = key(detect.detect(frame, cfg))
-    assert want and key(replay.run_detector(frame, cfg, parts=4)) == want
+    assert want and key(replay.run_detector(frame, cfg, parts=3)) == want
 
 
 def test_stream_reads_no_more_as_it_goes_on(spark, tmp_path):
@@ -131,7 +131,7 @@ def test_stream_reads_no_more_as_it_goes_on(spark, tmp_path):
     table = detect.train(log(spark, rows), cfg)
     detector.use_state_store(spark)
     sizes, clients = [], []
-    for hour in range(6):
+    for hour in range(4):
         log(spark, [(s + 3600 * hour, *rest) for s, *rest in rows]).write.mode("append").parquet(source)
         query = detector.start_detector(spark.readStream.schema(SCHEMA).parquet(source), table, t0, out, cfg)
         query.awaitTermination()
@@ -140,7 +140,7 @@ def test_stream_reads_no_more_as_it_goes_on(spark, tmp_path):
         clients.append(sum(o["numRowsUpdated"] for p in query.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]))
         assert not (tmp_path / "out" / "seen").exists()
     assert clients[0] > 0 and clients[1] == clients[-1]
-    assert max(sizes[2:]) <= 1.25 * sizes[2], sizes
+    assert max(sizes[1:]) <= 1.25 * sizes[1], sizes
 
 
 def test_late_rows_are_dropped(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logwarden.config import DetectConfig
 from logwarden.functions import special, tails
-from logwarden.operators import entities, persistence, rates, selection
+from logwarden.operators import distinct, entities, heavy, networks, persistence, rates, selection
 from logwarden.sources import scratch
 
 # --- medians -------------------------------------------------------------------------------------
@@ -146,6 +146,87 @@ def test_entity_metrics_expand_nothing(spark):
     assert "Expand" not in entities.entity_metrics(grain)._jdf.queryExecution().optimizedPlan().toString()
 
 
+# --- frequent values, mergeable counts, networks -------------------------------------------------
+
+
+@pytest.mark.parametrize("buckets", [1, 4, 256])
+def test_top_values_are_exact(spark, buckets):
+    rng = random.Random(11)
+    rows = [("flat", f"v{k}", 1) for k in range(500)] + [("heavy", f"v{k}", 1) for k in range(500)] + [("heavy", v, n) for v, n in (("a", 300), ("b", 300), ("c", 299), ("v7", 50))]
+    rows += [("few", "x", 3), ("few", "y", 3), ("none", None, 4), (None, "no key", 2), ("zero", "z", 0)] + [("random", f"r{int(rng.expovariate(0.1))}", rng.randrange(4)) for _ in range(2000)]
+    frame = spark.createDataFrame(rows, "key string, value string, n long").repartition(5)
+    for most in (1, 3, 40):
+        want = []
+        for key in {k for k, v, _ in rows if v is not None}:
+            sums = {}
+            for k, v, n in rows:
+                if k == key and v is not None:
+                    sums[v] = sums.get(v, 0) + n
+            want += [(key, v, n, sum(sums.values()), r + 1) for r, (v, n) in enumerate(sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:most])]
+        got = [tuple(r) for r in heavy.top_values(frame, ("key",), "value", "n", most, buckets).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_few_values_move_where_some_are_heavy(spark):
+    """A million verbs seen once do not reach the ranking: only those that share a sum with the heavy ones do."""
+    rows = spark.range(1_000_000, numPartitions=8).select(F.lit("bot").alias("key"), F.concat(F.lit("V"), "id").alias("verb"), F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(spark.createDataFrame([("bot", "GET", 60_000), ("bot", "POST", 30_000), ("bot", "HEAD", 20_000)], "key string, verb string, n long"))
+    got = heavy.top_values(rows, ("key",), "verb", "n", 3)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [("bot", "GET", 60_000, 1_110_000, 1), ("bot", "POST", 30_000, 1_110_000, 2), ("bot", "HEAD", 20_000, 1_110_000, 3)]
+    sums = rows.withColumn("bucket", F.pmod(F.xxhash64("verb"), F.lit(heavy.BUCKETS))).groupBy("bucket").agg(F.sum("n").alias("held"))
+    assert sums.filter("held >= 20000").count() == 3
+
+
+def test_addresses_merge_exactly_and_sketches_nearly(spark):
+    rng = random.Random(12)
+    rows = [(w, f"10.{rng.randrange(3)}.{rng.randrange(40)}.{rng.choice([0, 63, 64, 127, 128, 191, 192, 255, rng.randrange(256)])}", f"ua{rng.randrange(3000)}") for w in range(24) for _ in range(400)]
+    rows += [(0, "2a03::1", None), (1, "not an address", "ua1"), (2, None, None), (3, "1.2.3.999", "x"), (4, "01.2.3.4", "x")]
+    frame = spark.createDataFrame(rows, "w long, ip string, ua string")
+    real = [r for r in rows if r[1] and r[1].startswith("10.")]
+    hour = {"hour": F.floor(F.col("w") / 12)}
+    masks = distinct.host_masks(frame, ("w",))
+    by_window = {r["w"]: (r["addresses"], r["networks"]) for r in distinct.address_counts(masks, ("w",)).collect()}
+    assert by_window == {w: (len({ip for v, ip, _ in real if v == w}), len({ip.rsplit(".", 1)[0] for v, ip, _ in real if v == w})) for w in range(24)}
+    by_hour = {r["hour"]: r["addresses"] for r in distinct.address_counts(distinct.merged_masks(masks, hour), ("hour",)).collect()}
+    assert by_hour == {h: len({ip for v, ip, _ in real if v // 12 == h}) for h in (0, 1)}
+    sketches = distinct.merged_sketches(distinct.client_sketches(frame, ("w",), ("ip", "ua")), hour, ("ip", "ua"))
+    for r in distinct.sketch_counts(sketches, ("hour",), ("ip", "ua")).collect():
+        own = [x for x in rows if x[0] // 12 == r["hour"]]
+        # four standard errors of 1.6 %
+        assert r["about_ip"] == pytest.approx(len({x[1] for x in own if x[1]}), rel=0.065)
+        assert r["about_ua"] == pytest.approx(len({x[2] for x in own if x[2]}), rel=0.065)
+
+
+def test_network_levels_equal_groupings_of_their_own(spark):
+    import ipaddress
+
+    rng = random.Random(13)
+    ips = [f"10.{rng.randrange(2)}.{rng.randrange(5)}.{rng.randrange(20)}" for _ in range(200)] + ["192.0.2.1"] * 3 + [f"2a03:2880:{rng.randrange(3):x}:{rng.randrange(3):x}::{rng.randrange(1, 9):x}" for _ in range(100)] + ["odd"]
+    rows = [(k % 2, ip, rng.choice(["2xx", "4xx", "5xx"]), 400 if ip == "192.0.2.1" else rng.randrange(1, 9)) for k, ip in enumerate(ips)]
+    frame = spark.createDataFrame(rows, "w long, ip string, status_class string, n long")
+    got = {(r["w"], r["level"], r["network"]): r for r in networks.network_levels(frame, 0.2).collect()}
+
+    def net(ip, level):
+        try:
+            return str(ipaddress.ip_network(f"{ip}/{(networks.IPV6 if ':' in ip else networks.IPV4)[level]}", strict=False))
+        except ValueError:
+            return ip
+
+    want, heavy_ones = {}, set()
+    for level in range(4):
+        for w in (0, 1):
+            whole = sum(n for v, *_, n in rows if v == w)
+            for name in {net(ip, level) for v, ip, _, _ in rows if v == w}:
+                own = [(ip, s, n) for v, ip, s, n in rows if v == w and net(ip, level) == name]
+                rest = sum(n for ip, _, n in own if not any((w, k, net(ip, k)) in heavy_ones for k in range(level)))
+                want[w, level, name] = (sum(n for *_, n in own), sum(n for _, s, n in own if s != "2xx"), len({ip for ip, *_ in own}), rest, rest >= 0.2 * whole)
+            heavy_ones |= {k for k, v in want.items() if k[:2] == (w, level) and v[4]}
+    assert {k: (r["n"], r["errors"], r["ips"], r["rest"], r["heavy"]) for k, r in got.items()} == want
+    assert any(k[1] == 0 for k in heavy_ones) and any(k[1] > 1 for k in heavy_ones)
+    with pytest.raises(ValueError):
+        networks.network_levels(frame, ipv4=(8, 16), ipv6=(32, 64))
+
+
 # --- tails ---------------------------------------------------------------------------------------
 
 
