@@ -142,16 +142,3 @@ def fixity_audit(first: DataFrame, replica: DataFrame, fanout: int = FANOUT) ->
     """
     fill = lambda r: leaves(r).withColumn("digest", F.coalesce("digest", F.lit("-")))
     return audit(merkle_tree(fill(first), fanout), merkle_tree(fill(replica), fanout), fanout)
-
-
-def damaged(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """A replica's pages with damage by rule, for audits of derived data.
-
-    Of every 97 pages one has its first character of html overwritten; every seventh file has lost
-    its last pages, and every fifth one page inside, which shifts the records after it.
-    """
-    inside = F.pmod("page_id", F.lit(file_pages))
-    tail = (F.floor(F.col("page_id") / file_pages) % 7 == 3) & (inside >= file_pages - 6)
-    lost = tail | (F.floor(F.col("page_id") / file_pages) % 5 == 0) & (inside == 10)
-    html = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    return pages.filter(~F.coalesce(lost, F.lit(False))).select("page_id", "url", html.alias("html"))

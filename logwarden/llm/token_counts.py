@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from logwarden.llm.common import materialise
 
-#: (start, end, new): the characters from start to end become new; edits do not overlap.
+#: (start, end, new): the characters from start to end become new; edits that overlap are an error.
 Edit = tuple[int, int, str]
 LEAF, FANOUT, CACHED = 16, 16, 400_000
 #: The characters with the Unicode property White_Space.
@@ -115,10 +115,15 @@ class CountTree:
 
         Places count characters of the text as it is before the call. Afterwards the tree is that of
         the new text, but for leaves that became longer or shorter; when one passes four times its
-        size, all are dealt anew.
+        size, all are dealt anew. Edits that overlap, or reach beyond the text, are an error.
         """
         if not edits:
             return self.text, 0
+        place = 0
+        for start, end, _ in sorted(edits, key=lambda e: e[:2]):
+            if not place <= start <= end <= len(self.text):
+                raise ValueError(f"an edit of {start} to {end} overlaps another or leaves a text of {len(self.text)} characters")
+            place = end
         if not len(self.lengths):
             self.__init__("".join(new for _, _, new in sorted(edits, key=lambda e: e[:2])), self.counts)
             return self.text, len(self.lengths)

@@ -609,6 +609,13 @@ def test_trees_hold_over_successive_edits():
             assert [int(tree.tokens[a : a + n].sum()) for a, n in zip(starts, tree.leaves, strict=True)] == (tree.levels[0].tolist() if tree.levels else [])
 
 
+def test_edits_that_overlap_are_an_error():
+    counts = token_counts.SegmentCounts(tokenizer_path("byte_bpe_50k.json"))
+    for edits in ([(0, 5, "x"), (3, 8, "Y")], [(0, 99, "x")], [(4, 2, "x")], [(-1, 2, "x")], [(5, 5, "a"), (3, 6, "b")]):
+        with pytest.raises(ValueError, match="overlaps"):
+            token_counts.CountTree("aa bb cc dd", counts).apply(edits)
+
+
 def test_stored_trees_take_edits_from_a_table(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     rows = [(1, "some plain words " * 300, "s"), (2, None, "s"), (3, "", "s"), (None, "no id", "s"), (4, "untouched text", "s"), (4, "twice", "s")]
