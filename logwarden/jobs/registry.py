@@ -241,7 +241,7 @@ def addresses_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.address_counts(hours, ("entity_type", "entity_value", "hour"))
 
 
-_TOP = "t{i} AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_value ORDER BY n DESC, value) AS rank FROM (SELECT entity_type, entity_value, '{v}' AS kind, {v} AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY entity_type, entity_value) AS total FROM ent WHERE {v} IS NOT NULL GROUP BY ALL))"
+_TOP = "t{i} AS (SELECT *, row_number() OVER (PARTITION BY entity_type, entity_value ORDER BY n DESC, value) AS rank FROM (SELECT *, sum(n) OVER (PARTITION BY entity_type, entity_value) AS total FROM (SELECT entity_type, entity_value, '{v}' AS kind, {v} AS value, count(*) AS n FROM ent WHERE {v} IS NOT NULL GROUP BY ALL)))"
 
 
 @query(oracle.sql([oracle.REQ, *[_TOP.format(i=i, v=v) for i, v in enumerate(("path", "verb", "ref"))]], " UNION ALL ".join(f"SELECT entity_type, entity_value, kind, value, n, CAST(total AS BIGINT) AS total, CAST(rank AS INT) AS rank FROM t{i} WHERE rank <= 3" for i in range(3))))
