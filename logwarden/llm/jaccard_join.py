@@ -14,14 +14,13 @@ all sets. That brings together what can link, in three steps that lose no link:
    sets, and the range of their sizes. A dual traversal leaves out pairs of nodes that cannot reach
    J, or whose sets are one component already; what remains is compared exactly.
 
-Large components are cut into blocks, and pairs of blocks are tasks. Sets that link with their
-component's first set need not meet each other again.
+Large components are cut into blocks of bounded tokens, and pairs of blocks are tasks. Sets that link
+with their component's first set need not meet each other again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,10 @@ from logwarden.llm.components import components
 from logwarden.sources.scratch import temporary_tables
 
 WORDS, PERCENT = 5, 80
-#: Sets in a block of a large component, and small components' sets in one group of tasks.
-BLOCK, BUNDLE = 512, 512
+#: Sets, and tokens of 8 bytes, that make a block of a large component or a group of small components; a set is never cut.
+BLOCK, TOKENS = 512, 4 << 20
+#: Tokens that a task remembers; what it forgets is told of again.
+REMEMBERED = 1 << 20
 #: Bytes of text that are worked on at once; temporaries take some sixty times as many.
 BYTES = 1 << 20
 #: Weights from here on are those of texts.
@@ -119,14 +120,50 @@ def prefix(n, percent: int):
     return n - needed(n, percent) + 1
 
 
+class Met:
+    """Tokens that a task has met: those told of for one text, and those told of as shared.
+
+    Both are forgotten when they are too many, so memory is bounded. A token that half of all texts
+    have is met again at once, so a task tells of it a few times, not once a text or block.
+    """
+
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most, self.single, self.shared = most, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def holds(self, known: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(tokens), bool)
+        at = np.searchsorted(known, tokens)
+        at[at == len(known)] = 0
+        return known[at] == tokens
+
+    def grown(self, known: np.ndarray, new: np.ndarray) -> np.ndarray:
+        if len(known) + len(new) > self.most:
+            return new[: self.most]
+        return np.sort(np.concatenate([known, new]), kind="stable")
+
+    def meet(self, tokens: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct sorted tokens of a block, which to tell of for their one text, and which as shared.
+
+        several: tokens of more than one text of the block. Tokens that are neither are known to be shared.
+        """
+        told = self.holds(self.shared, tokens)
+        shared = ~told & (several | self.holds(self.single, tokens))
+        single = ~told & ~shared
+        self.single, self.shared = self.grown(self.single, tokens[single]), self.grown(self.shared, tokens[shared])
+        return single, shared
+
+
 def _emit(words: int, percent: int):
-    """Rows (token, doc_id, weight, hi, lo): a token of one text of the block; or, doc_id null, of several.
+    """Rows (token, doc_id, weight, hi, lo): a token of one text; or, doc_id null, of several that the task has met.
 
-    A text's own row has any token and the 128-bit print of its set; its weight is the set's size
-    plus 1, shifted by 32 bits, plus the number of its tokens that other texts of the block have.
+    A text's own row has the mixed doc_id for a token and the 128-bit print of its set; its weight is
+    the set's size plus 1, shifted by 32 bits, plus the number of its tokens that the task knows to
+    be shared. See Met for what keeps a token of all texts from making a row a text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for batch in batches:
             ids = batch.column(0)
             for first, offsets, raw in text_blocks(batch, "text", BYTES):
@@ -141,14 +178,16 @@ def _emit(words: int, percent: int):
                 fresh[1:] = tokens[1:] != tokens[:-1]
                 alone = fresh.copy()
                 alone[:-1] &= fresh[1:]
+                own_token, shared = met.meet(tokens[fresh], ~alone[fresh])
+                alone &= own_token[np.cumsum(fresh) - 1]
                 local = np.bincount(of[~alone], minlength=len(sets))
                 # in the texts' order again, so that neighbouring rows share most of their bytes
                 rank = np.argsort(of[alone], kind="stable")
                 single, owner = tokens[alone][rank], of[alone][rank]
-                several = tokens[fresh & ~alone]
+                several = tokens[fresh][shared]
                 own = ids.slice(first, len(sets))
                 docs = pa.chunked_array([own.take(pa.array(owner)), pa.nulls(len(several), own.type), own]).combine_chunks()
-                keys = pa.chunked_array([pa.array(np.concatenate([single, several])), pa.array(mixed(np.arange(len(sets), dtype=_U) + _U(zlib.crc32(tokens.tobytes()) << 32)).view(np.int64))]).combine_chunks()
+                keys = pa.chunked_array([pa.array(np.concatenate([single, several])), pa.array(mixed(own.to_numpy().view(_U)).view(np.int64))]).combine_chunks()
                 weight = np.concatenate([np.ones(len(single), np.int64), np.zeros(len(several), np.int64), ((sizes + 1) << 32) + local])
                 prints = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
                 marks = [pa.chunked_array([pa.nulls(len(keys) - len(sets), pa.int64()), pa.array(prints[:, k])]).combine_chunks() for k in (0, 1)]
@@ -363,14 +402,14 @@ def _classes_and_links(rows: DataFrame, words: int, percent: int, every: bool) -
     open_ = classes.filter(F.col("shared") >= wanted).select(F.col("rep").alias("doc_id"), "n")
     # what grows with the data is never broadcast: the plan stays the same at every size
     found = rows.join(open_.hint("merge"), "doc_id").select("doc_id", "n", "text")
-    stored = materialise(found.mapInArrow(_sets(words), "doc_id long, n long, tokens array<long>"), "shingle-sets")
-    reps = stored.filter(F.size("tokens") == F.col("n"))
+    lists = found.mapInArrow(_sets(words), "doc_id long, n long, tokens array<long>")
+    reps = materialise(lists.filter(F.size("tokens") == F.col("n")), "shingle-sets")
     # token lists are the large tables here; they go as soon as links are found
     with temporary_tables("links"):
         near = components(candidate_links(reps, percent), "doc_id", "pivot")
     with temporary_tables("links-found"):
         links = exact_links(reps, near, percent, every)
-    release(stored)
+    release(reps)
     return stats, classes, links
 
 
@@ -390,17 +429,19 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
 
 def exact_links(reps: DataFrame, near: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """(u, v): links within each candidate component; with ``every`` all of them, otherwise as many as join all that link."""
-    sized = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = reps.join(near.join(sized, "component"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", F.col("component").alias("comp"), "size")
+    sizes = near.join(reps.select("doc_id", "n"), F.col("doc_id") == F.col("node")).groupBy("component")
+    sized = sizes.agg(((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > TOKENS)).alias("large"))
+    placed = reps.join(near.join(sized, "component"), F.col("doc_id") == F.col("node")).select("doc_id", "n", "tokens", F.col("component").alias("comp"), "large")
     placed = materialise(placed.withColumn("low", F.col("tokens")[0]), "candidates")
     shape = "u long, v long"
     # small components: several to a group
-    small = placed.filter(F.col("size") <= BLOCK)
-    groups = max(1, -(-small.count() // BUNDLE))
+    small = placed.filter(~F.col("large"))
+    count, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, -(-count // BLOCK), -(-total // TOKENS))
     zero = F.lit(0).cast("long")
     small = small.select("doc_id", "comp", "low", "tokens", zero.alias("part"), zero.alias("x"), zero.alias("y"), F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("key"))
     links = small.groupBy("key").applyInArrow(_join_groups(percent, every), shape)
-    large = placed.filter(F.col("size") > BLOCK)
+    large = placed.filter("large")
     if large.isEmpty():
         return materialise(links, "links-found")
     pivots = large.filter("doc_id = comp").select("comp", F.col("tokens").alias("pivot_tokens"))
@@ -409,16 +450,17 @@ def exact_links(reps: DataFrame, near: DataFrame, percent: int, every: bool = Fa
     tried = large.join(pivots, "comp").withColumn("settled", meets | (F.lit(not every) & (F.col("doc_id") == F.col("comp")))).drop("pivot_tokens")
     tried = materialise(tried, "pivoted")
     settled = tried.filter("settled and doc_id != comp").select(F.col("doc_id").alias("u"), F.col("comp").alias("v"))
-    # blocks of those not settled come first, each by size; a pair of blocks is a task if one is such and their sizes allow a link
+    # blocks, of so many sets and tokens at most, of those not settled come first, each by size; a pair of blocks is a task if one is
+    # such and their sizes allow a link
     dealt = tried.select("doc_id", "comp", "settled", "n", "low")
     unit = F.struct("settled", "n", leading_bits(F.col("low"), unit_bits(tried.count())).alias("bits"))
-    dealt = running_sums(dealt, ["comp"], unit, [F.col("low"), F.col("doc_id")], {"rank": F.lit(1)})
-    dealt = materialise(dealt.withColumn("part", F.floor(F.col("rank") / BLOCK).cast("long")), "blocks-dealt")
-    nodes = dealt.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("settled").alias("settled"))
+    dealt = running_sums(dealt, ["comp"], unit, [F.col("low"), F.col("doc_id")], {"rank": F.lit(1), "before": F.col("n")})
+    dealt = materialise(dealt.withColumn("part", (F.floor(F.col("rank") / BLOCK) + F.floor(F.col("before") / TOKENS)).cast("long")), "blocks-dealt")
+    nodes = dealt.groupBy("comp", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("settled").alias("settled"), (F.count(F.lit(1)) > 1).alias("several"))
     end = nodes.groupBy("comp").agg(F.max("part").alias("end"))
-    first = nodes.join(end, "comp").withColumn("y", F.explode(F.sequence("part", "end"))).select("comp", F.col("part").alias("x"), "y", F.col("least").alias("l"), F.col("most").alias("m"), F.col("settled").alias("s"))
+    first = nodes.join(end, "comp").withColumn("y", F.explode(F.sequence("part", "end"))).select("comp", F.col("part").alias("x"), "y", F.col("least").alias("l"), F.col("most").alias("m"), F.col("settled").alias("s"), F.col("several").alias("inner"))
     met = first.join(nodes, (first["comp"] == nodes["comp"]) & (first["y"] == nodes["part"])).drop(nodes["comp"])
-    met = met.filter(~(F.col("s") & F.col("settled")) & (100 * F.col("most") >= percent * F.col("l")) & (100 * F.col("m") >= percent * F.col("least")))
+    met = met.filter((F.col("inner") | (F.col("x") != F.col("y"))) & ~(F.col("s") & F.col("settled")) & (100 * F.col("most") >= percent * F.col("l")) & (100 * F.col("m") >= percent * F.col("least")))
     sides = met.select("comp", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
     met = dealt.select("doc_id", "comp", "part").join(sides, ["comp", "part"])
     tasks = met.join(large.select("doc_id", "comp", "low", "tokens"), ["doc_id", "comp"])
