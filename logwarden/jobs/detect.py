@@ -43,7 +43,7 @@ def base_signals(grain: DataFrame, table: DataFrame, cfg: DetectConfig = DEFAULT
     grain: that of all windows, or of some later ones and what ``before`` holds of those before them.
     """
     paths = materialise(entities.path_grain(entities.by_entity(grain, types), cfg), "paths")
-    metrics = materialise(entities.entity_metrics(grain, cfg, types, paths=paths), "metrics")
+    metrics = materialise(entities.entity_metrics(grain, cfg, types, paths=paths, methods=False), "metrics")
     base = baseline.baseline_row(table, cfg)
     rows = metrics.join(F.broadcast(entities.window_totals(grain)), "w").join(F.broadcast(base))
     # most entities share a few pairs of counts, such as no error in one request

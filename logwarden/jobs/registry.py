@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,7 +13,7 @@ from logwarden.functions import network, parsing
 from logwarden.jobs import derived, detect, oracle, replay, report
 from logwarden.operators import baseline, distinct, entities, heavy, networks, persistence, prefixes, rates, windows
 from logwarden.sources import logs
-from logwarden.sources.scratch import materialise, scratch_dir
+from logwarden.sources.scratch import materialise, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -53,7 +52,7 @@ def _grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.entity_metrics(_grain(spark, sf_dir))
+    return entities.entity_metrics(_grain(spark, sf_dir), methods=False)
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +135,7 @@ def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two folders hold a log each, one in each format, that begins with blank lines; two hold lines
     that are no requests, the last of them after one line that is in the CDN format but for its time.
     """
-    path = f"{scratch_dir(spark)}/logs-{uuid.uuid4().hex}"
+    path = new_folder(spark, "logs")
     rows = derived.requests(spark, sf_dir).withColumn("sec", F.unix_seconds("ts") - derived.BASE)
     other = rows.filter("sec = 0").select(F.lit("no request").alias("value"))
     blank = lambda n: F.concat(F.lit("\n" * n), F.col("value")).alias("value")
@@ -200,7 +199,7 @@ def entity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle.sql([oracle.REQ], "SELECT entity_type, entity_value, w, verb, count(*) AS n FROM ent GROUP BY ALL"))
 def method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).select(*KEY, F.explode("methods").alias("verb", "n"))
+    return entities.method_counts(entities.by_entity(_grain(spark, sf_dir)))
 
 
 @query(oracle.sql([oracle.REQ, oracle.METRICS], f"SELECT entity_type, entity_value, w, total_requests, status_2xx AS s2xx, status_3xx AS s3xx, status_4xx AS s4xx, status_5xx AS s5xx, {_rs('error_rate', 'explore_ratio')} FROM m WHERE entity_type = 'cidr'"))
@@ -525,7 +524,7 @@ def decision_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def written_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions written as JSON lines by day and entity type, and read back from the files."""
-    path = f"{scratch_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    path = new_folder(spark, "decisions")
     logs.write_decisions(detect.detect(derived.requests(spark, sf_dir), replace(DEFAULT, n_hammer_min=50)), path)
     back = spark.read.json(path)
     return back.select(

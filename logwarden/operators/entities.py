@@ -92,32 +92,41 @@ def path_metrics(paths: DataFrame, cfg: DetectConfig = DEFAULT) -> DataFrame:
 SIDES = {"ua": ("ip", "cidr"), "ip": ("ua", "cidr"), "ref": None, "verb": None}
 
 
-def side_metrics(entities: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per entity and window: distinct agents, addresses and referrers, and requests by verb, in one pass."""
-    kind = F.col("entity_type")
+def method_counts(entities: DataFrame) -> DataFrame:
+    """(entity_type, entity_value, w, verb, n): requests by verb as rows, however many verbs a client makes up."""
+    return entities.filter("verb is not null").groupBy(*KEY, "verb").agg(F.sum("n").alias("n"))
+
+
+def side_metrics(entities: DataFrame, approximate: bool = False, methods: bool = True) -> DataFrame:
+    """Per entity and window: distinct agents, addresses and referrers, and with ``methods`` requests by verb, in one pass."""
+    kind, sides = F.col("entity_type"), [s for s in SIDES if methods or s != "verb"]
     value = lambda s: F.col(s) if SIDES[s] is None else F.when(kind.isin(*SIDES[s]), F.col(s))
-    pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("side"), value(s).alias("value")) for s in SIDES]), lambda x: x["value"].isNotNull())
+    pairs = F.filter(F.array(*[F.struct(F.lit(s).alias("side"), value(s).alias("value")) for s in sides]), lambda x: x["value"].isNotNull())
     counted = entities.select(*KEY, "n", F.explode(pairs).alias("__s")).groupBy(*KEY, "__s.side", "__s.value").agg(F.sum("n").alias("n"))
     is_side = lambda s: F.col("side") == s
     verbs = F.map_from_entries(F.sort_array(F.collect_list(F.when(is_side("verb"), F.struct(F.col("value").alias("verb"), "n")))))
     if not approximate:
         distinct = [F.count(F.when(is_side(s), 1)).alias(f"unique_{s}s") for s in ("ua", "ip", "ref")]
-        return counted.groupBy(*KEY).agg(*distinct, verbs.alias("methods"))
+        return counted.groupBy(*KEY).agg(*distinct, *([verbs.alias("methods")] if methods else []))
     about = entities.groupBy(*KEY).agg(*[F.approx_count_distinct(value(s)).alias(f"unique_{s}s") for s in ("ua", "ip", "ref")])
-    own = entities.groupBy(*KEY, "verb").agg(F.sum("n").alias("n")).withColumns({"side": F.lit("verb"), "value": F.col("verb")})
-    return about.join(own.groupBy(*KEY).agg(verbs.alias("methods")), KEY)
+    if not methods:
+        return about
+    own = method_counts(entities).withColumns({"side": F.lit("verb"), "value": F.col("verb")})
+    return about.join(own.groupBy(*KEY).agg(verbs.alias("methods")), KEY, "left")
 
 
-def entity_metrics(grain: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = TYPES, approximate: bool = False, paths: DataFrame | None = None) -> DataFrame:
+def entity_metrics(grain: DataFrame, cfg: DetectConfig = DEFAULT, types: tuple[str, ...] = TYPES, approximate: bool = False, paths: DataFrame | None = None, methods: bool = True) -> DataFrame:
     """One row per entity and window; see FIXTURES.md for the columns.
 
     grain: see request_grain(). With ``approximate`` the distinct agents, addresses and referrers are
     HyperLogLog estimates, for logs whose exact sets are too many to shuffle; paths and their
-    prefixes are exact. paths: path_grain() of these types, if it is stored already.
+    prefixes are exact. paths: path_grain() of these types, if it is stored already. ``methods`` is one
+    map an entity: the jobs do without it, as method_counts() has the same as rows.
     """
     entities = by_entity(grain, types)
     paths = materialise(path_grain(entities, cfg), "paths") if paths is None else paths
-    out = path_metrics(paths, cfg).join(side_metrics(entities, approximate), KEY)
+    # a client may have no agent, no referrer and no verb
+    out = path_metrics(paths, cfg).join(side_metrics(entities, approximate, methods), KEY, "left").fillna(0, [f"unique_{s}s" for s in ("ua", "ip", "ref")])
     total = F.col("total_requests")
     return out.withColumns(
         {

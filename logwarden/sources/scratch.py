@@ -34,12 +34,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for what is written otherwise; scopes delete it like a table."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     for scope in _scopes.get()[-1:]:
         scope.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
     df.write.options(**FORMAT).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path

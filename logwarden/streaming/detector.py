@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.config import DEFAULT, DetectConfig
 from logwarden.jobs import detect
 from logwarden.operators import entities, prefixes, rates
+from logwarden.sources import logs
 from logwarden.sources.scratch import materialise, temporary_tables
 from logwarden.streaming.clients import with_new_clients
 from logwarden.streaming.rates import DELAY
@@ -62,7 +63,7 @@ def _carry_on(before: detect.Before, grain: DataFrame, scored: DataFrame, cfg: D
     return {"recent": counts.select(*key, "w", "total_requests", "known_ewma"), "totals": totals, "runs": runs}
 
 
-def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str, cfg: DetectConfig = DEFAULT, delay: str = DELAY):
+def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str, cfg: DetectConfig = DEFAULT, delay: str = DELAY, report: str | None = None):
     """Start the streaming detector; returns the query. Needs use_state_store() first.
 
     Windows that closed arrive as counts, through keyed state that knows every prefix's clients and
@@ -71,7 +72,8 @@ def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str,
     decisions. No request, count or client is read twice, and a batch without a closed window reads
     and writes no table. Decisions and state are stored under the batch's number, so a repeated
     batch replaces its own output; of versions, the one before stays as well, for a batch that is
-    repeated. Folders: path/decisions, path/recent, path/totals, path/runs, path/state.
+    repeated. Folders: path/decisions, path/recent, path/totals, path/runs, path/state. With
+    ``report`` decisions are also written there as logs.write_decisions() does, by batch.
     """
     sec = cfg.window_sec
 
@@ -88,6 +90,9 @@ def start_detector(requests: DataFrame, table: DataFrame, t0: float, path: str,
             before = detect.Before(**state, new_clients=new)
             scored = materialise(detect.score(detect.base_signals(grain, table, cfg, before=before), cfg, before.runs), "scored")
             detect.decisions(scored).write.mode("overwrite").parquet(f"{path}/decisions/batch={number}")
+            if report:
+                made = spark.read.parquet(f"{path}/decisions/batch={number}")
+                logs.write_decisions(made, f"{report}/batch={number}", mode="overwrite")
             write_version(path, number, _carry_on(before, grain, scored, cfg))
             drop_versions(spark, path, STATE, (last, number))
 

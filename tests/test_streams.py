@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from logwarden.jobs import replay
+from logwarden.config import DEFAULT
+from logwarden.jobs import derived, detect, registry, replay
+from logwarden.operators import entities
 from logwarden.sources import logs
+from logwarden.sources.scratch import folders, scratch_dir, temporary_tables
 from logwarden.streaming import late, lines
 
 T0 = dt.datetime(2025, 9, 25, 19)
@@ -89,3 +93,29 @@ def test_counts_keep_every_row_once_whatever_the_order(spark, tmp_path):
     done = late.counted(spark, out)
     assert done.agg(F.sum("n")).first()[0] + open_.agg(F.sum("n")).first()[0] == total
     assert done.filter("window_start is null").count() == 2 and done.groupBy("window_start", "ip", "windows_late").count().filter("count > 1 and window_start is not null and windows_late is null").count() == 0
+
+
+def test_streams_and_jobs_leave_nothing_in_the_shared_folder(spark, tmp_path):
+    """What queries write, the folders of streams included, goes with the scope; a stream's report of decisions stays."""
+    sf = "/root/testdata/sf0.001"
+    before = set(folders(spark, scratch_dir(spark)))
+    with temporary_tables():
+        for name in ("file_formats", "written_decisions", "method_counts", "stream_window_counts"):
+            registry.queries()[name](spark, sf).collect()
+        decided = replay.run_detector(derived.requests(spark, sf), replace(DEFAULT, n_hammer_min=50), report=f"{tmp_path}/report")
+        kept = sorted(decided.select("entity_type", "entity_value", "w", F.round("score", 2)).collect())
+        assert set(folders(spark, scratch_dir(spark))) > before
+    assert set(folders(spark, scratch_dir(spark))) == before
+    assert kept and sorted(spark.read.json(f"{tmp_path}/report").select("entity_type", "entity_value", "w", "score").collect()) == kept
+
+
+def test_verbs_as_rows_and_clients_without_any(spark):
+    """Made-up verbs are rows, not one map; a client without agent, referrer and verb keeps its row."""
+    given = [(0, "1.1.1.1", f"V{k}", "ua") for k in range(300)] + [(0, "1.1.1.1", "GET", "ua")] * 2 + [(0, "9.9.9.9", None, None)]
+    log = spark.createDataFrame([(T0, ip, ua, None, "/a", verb, 200, "2xx") for _, ip, verb, ua in given], "ts timestamp, ip string, ua string, ref string, path string, verb string, status int, status_class string")
+    log = log.unionByName(replay.marker(log, int(T0.timestamp() * 1e6) + 400_000_000, spark))
+    grain = detect.grain_of(log)
+    counts = {r["verb"]: r["n"] for r in entities.method_counts(entities.by_entity(grain)).filter("entity_value = '1.1.1.1'").collect()}
+    assert len(counts) == 301 and counts["GET"] == 2
+    plain = {r["entity_value"]: (r["total_requests"], r["unique_uas"], r["unique_refs"]) for r in entities.entity_metrics(grain, types=("ip",), methods=False).collect()}
+    assert plain == {"1.1.1.1": (302, 1, 0), "9.9.9.9": (1, 0, 0)}
