@@ -2,14 +2,16 @@
 
 The kernel of two texts is the blended spectrum of which byte n-grams (n = 1 to 4, hashed) are
 present in both, normalised. Texts are cut into windows, so presence does not saturate and every
-byte counts. Landmark windows span the kernel (Nystroem), one ridge regression a language against
-the rest is solved on the landmark features of all windows of the sampled texts, and texts are
-scored in batches by two matrix products, the scores of their windows averaged. The normal equations
-are added up by tasks, so the driver sees landmarks and sums alone.
+byte counts. Landmarks span the kernel (Nystroem): each is the middle of the windows nearest to it, of
+all that may be learned from. One ridge regression a language against the rest is solved on the
+landmark features of all those windows, and texts are scored in batches by two matrix products, the
+scores of their windows averaged. Middles and normal equations are added up by tasks, so the driver
+sees landmarks and sums alone.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import materialise, text_blocks
 
 UNKNOWN = "und"
-#: Presence features; the longest n-gram; bytes of a window; labelled texts a language; landmarks.
-FEATURES, LONGEST, WINDOW, PER_LANGUAGE, LANDMARKS = 8192, 4, 4096, 400, 160
+#: Presence features; the longest n-gram; bytes of a window; landmarks.
+FEATURES, LONGEST, WINDOW, LANDMARKS = 8192, 4, 4096, 160
 RIDGE, SHARPNESS = 1e-2, 8.0
 #: Bytes from which a text says enough about its language to be rejected.
 TELLING = 256
+#: Values of a sum that meet in one group; how tasks hand on their sums.
+BLOCK, PARTS = 2048, "at int, block int, sums binary"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -110,30 +114,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """The documents to learn from: all that have a text and a language and are not held out."""
+    return docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out(F.col("doc_id")))
+
+
 def sampled(docs: DataFrame, per_language: int) -> DataFrame:
     """doc_id, lang, text of at most ``per_language`` documents of each language, those of least hash of doc_id.
 
-    Ids are ranked in two steps, so that what meets in a language's one task does not grow with the
-    number of splits. The ids, a bounded number, are broadcast. Of rows that share an id and language
-    the least text is taken.
+    Landmarks start from these; nothing else is drawn from them. Ids are ranked in two steps, so that
+    what meets in a language's one task does not grow with the number of splits. The ids, a bounded
+    number, are broadcast. Of rows that share an id and language the least text is taken.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    rows = labelled(docs).select("doc_id", "lang", "text")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = labelled.groupBy("doc_id", "lang").agg(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64)).alias("__b"))
+    ids = rows.groupBy("doc_id", "lang").agg(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64)).alias("__b"))
     for keys in (["lang", "__b"], ["lang"]):
         ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_hash))).filter(F.col("__n") <= per_language).drop("__n")
     ids = materialise(ids.select("doc_id", "lang"), "language-ids")
-    return materialise(labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "language-sample")
+    return materialise(rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")), "language-sample")
 
 
-def landmark_windows(sample: DataFrame, landmarks: int) -> np.ndarray:
-    """Unit presence vectors of the same number of windows from each language, one a text; the driver gets a bitmap each.
+def landmark_windows(sample: DataFrame, landmarks: int) -> tuple[list[str], np.ndarray]:
+    """Languages and unit presence vectors of the same number of windows from each language, one a text; the driver gets a bitmap each.
 
     Texts are taken in the order of their hash, and of a text a window that its hash picks.
     """
     counts = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
     if not counts:
-        return np.zeros((0, FEATURES), np.float32)
+        return [], np.zeros((0, FEATURES), np.float32)
     per = max(1, landmarks // len(counts))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = sample.withColumn("__n", rank).filter(F.col("__n") <= per).withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))).select("text", "lang", "doc_id", "at")
@@ -152,43 +161,88 @@ def landmark_windows(sample: DataFrame, landmarks: int) -> np.ndarray:
                 )
 
     found = sorted(chosen.mapInArrow(bitmaps, "lang string, doc_id long, bits binary").collect())
-    return unit(np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found], np.float32).reshape(-1, FEATURES))
+    return [r["lang"] for r in found], unit(np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in found], np.float32).reshape(-1, FEATURES))
 
 
-def window_moments(sample: DataFrame, base: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
-    """For each language the sums over all windows of all its texts: z' z flattened, z, and their number.
+def _labelled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Languages and presence vectors of all windows of all texts, some at a time. batches: text, lang."""
+    for batch in batches:
+        langs = np.array(batch.column(1).to_pylist(), dtype=object)
+        for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
+            spans, owner = windows_of(offsets)
+            for k in range(0, len(spans), 256):
+                yield langs[first + owner[k : k + 256]], _presence_of(raw, spans[k : k + 256])
 
-    Each task adds up its own; Spark adds the tasks' sums place by place.
-    """
+
+def _parts(at: int, values: np.ndarray) -> pa.RecordBatch:
+    """What a task added up for one landmark or language, in blocks."""
+    blocks = [zlib.compress(values[k : k + BLOCK].tobytes(), 1) for k in range(0, len(values), BLOCK)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([at] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["at", "block", "sums"]
+    )
+
+
+def added_up(parts: DataFrame, kind: type) -> dict[int, np.ndarray]:
+    """The sums of all tasks. A block of every task meets in a group; its order there makes no difference."""
+
+    def fold(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), kind) for x in sorted(rows["sums"].to_pylist()))
+        return pa.table({"at": rows["at"][:1], "block": rows["block"][:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    found = sorted(parts.groupBy("at", "block").applyInArrow(fold, PARTS).collect())
+    return {k: np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), kind) for r in found if r["at"] == k]) for k in sorted({r["at"] for r in found})}
+
+
+def middles(texts: DataFrame, langs: list[str], base: np.ndarray) -> np.ndarray:
+    """Each landmark moved to the middle, of unit length, of the windows of its language that are nearest to it, all windows being dealt out."""
+    code = {g: k for k, g in enumerate(sorted(set(langs)))}
+    of = np.array([code[g] for g in langs])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(base.shape, np.int64)
+        for own, x in _labelled_windows(batches):
+            other = np.array([code[g] for g in own])[:, None] != of
+            dealt = np.zeros(other.shape, np.float32)
+            dealt[np.arange(len(x)), np.where(other, -1, unit(x) @ base.T).argmax(axis=1)] = 1
+            held += (dealt.T @ x).astype(np.int64)
+        for k in np.flatnonzero(held.any(axis=1)):
+            yield _parts(k, held[k])
+
+    counts = np.array(list(added_up(texts.select("text", "lang").mapInArrow(sums, PARTS), np.int64).values()), float)
+    return (counts / np.linalg.norm(counts, axis=1, keepdims=True)).astype(np.float32)
+
+
+def window_moments(texts: DataFrame, languages: list[str], base: np.ndarray, root: np.ndarray) -> dict[str, np.ndarray]:
+    """For each language the sums over all windows of all its texts: z' z flattened, z, and their number."""
     n = root.shape[1]
+    upper = np.triu_indices(n)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            for first, offsets, raw in text_blocks(batch, "text", 1 << 20):
-                spans, owner = windows_of(offsets)
-                for k in range(0, len(spans), 256):
-                    z = (unit(_presence_of(raw, spans[k : k + 256])) @ base.T).astype(np.float64) @ root
-                    own = langs[first + owner[k : k + 256]]
-                    for lang in set(own):
-                        mine = z[own == lang]
-                        held[lang] = held.get(lang, 0) + np.concatenate([(mine.T @ mine).ravel(), mine.sum(axis=0), [len(mine)]])
+        for own, x in _labelled_windows(batches):
+            z = (unit(x) @ base.T).astype(np.float64) @ root
+            for lang in set(own):
+                mine = z[own == lang]
+                held[lang] = held.get(lang, 0) + np.concatenate([(mine.T @ mine)[upper], mine.sum(axis=0), [len(mine)]])
         for lang, values in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["lang", "i", "v"])
+            yield _parts(languages.index(lang), values)
 
-    rows = sample.select("text", "lang").mapInArrow(sums, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).toPandas()
-    return {lang: own.sort_values("i")["v"].to_numpy() for lang, own in rows.groupby("lang") if len(own) == n * n + n + 1}
+    def whole(values: np.ndarray) -> np.ndarray:
+        gram = np.zeros((n, n))
+        gram[upper] = gram.T[upper] = values[: -n - 1]
+        return np.concatenate([gram.ravel(), values[-n - 1 :]])
 
+    return {languages[k]: whole(values) for k, values in added_up(texts.select("text", "lang").mapInArrow(sums, PARTS), np.float64).items()}
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    """Fit on all windows of at most ``per_language`` documents of each language; that bound is the sample's only one."""
-    sample = sampled(docs, per_language)
-    base = landmark_windows(sample, landmarks)
-    if not len(base):
+
+def learn(docs: DataFrame, landmarks: int = LANDMARKS) -> Model:
+    """Fit on all windows of all documents that may be learned from; landmarks, whose number is fixed, start from some of them."""
+    langs, starts = landmark_windows(sampled(docs, landmarks), landmarks)
+    if not langs:
         return Model(np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), [])
+    base = middles(labelled(docs), langs, starts)
     root = spanning(base)
-    return solve(window_moments(sample, base, root), root, base)
+    return solve(window_moments(labelled(docs), sorted(set(langs)), base, root), root, base)
 
 
 def _presence_of(raw: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -229,36 +283,47 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
-    Learns from text and non-null lang of documents whose crc32 of doc_id, as text, modulo 4 is not
+    Learns from text and non-null lang of all documents whose crc32 of doc_id, as text, modulo 4 is not
     2; predicts from the text alone. ``und`` with score 0 where the text is null or has no letter,
     or where nothing could be learned. Repeated rows are predicted alike; rows with a null doc_id
     are held out. An empty table gives an empty result. Other columns are ignored.
     """
-    model = learn(docs, per_language)
+    model = learn(docs)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def least_scores(docs: DataFrame, model: Model, per_language: int) -> dict[str, float]:
-    """For each language the score halfway from chance to the least of its sampled texts of some length that are predicted rightly."""
-    sample = sampled(docs, per_language).filter(F.octet_length("text") >= TELLING)
-    right = sample.join(predict(sample, model), "doc_id").filter(F.col("lang") == F.col("lang_pred"))
-    rows = right.groupBy("lang").agg(F.min("score").alias("least")).collect()
+def least_scores(docs: DataFrame, model: Model) -> dict[str, float]:
+    """For each language the score halfway from chance to the least of its texts of some length that are predicted rightly, of all that were learned from."""
+    places = {g: k for k, g in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.full(len(places), np.inf)
+        for batch in batches:
+            own = np.array([places.get(g, -1) for g in batch.column(1).to_pylist()])
+            for first, best, score, _ in _classify(batch, model):
+                right = best == own[first : first + len(best)]
+                np.minimum.at(held, best[right], score[right])
+        seen = np.flatnonzero(np.isfinite(held))
+        yield pa.RecordBatch.from_arrays([pa.array([model.languages[k] for k in seen], pa.string()), pa.array(held[seen])], ["lang", "least"])
+
+    texts = labelled(docs).filter(F.octet_length("text") >= TELLING).select("text", "lang")
+    rows = texts.mapInArrow(run, "lang string, least double").groupBy("lang").agg(F.min("least").alias("least")).collect()
     return {r["lang"]: (r["least"] + 1 / len(model.languages)) / 2 for r in rows}
 
 
-def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents with a language: those without letters go, and those that no language scores as it scores its own.
 
-    The least score of a language comes from the sample, see least_scores(); texts of fewer than
-    TELLING bytes are too short to be rejected for it. If nothing could be learned, all with letters
-    stay. Each row is decided on by its own text where it is read,
+    The least score of a language comes from all documents that were learned from, see
+    least_scores(); texts of fewer than TELLING bytes are too short to be rejected for it. If nothing
+    could be learned, all with letters stay. Each row is decided on by its own text where it is read,
     whatever ids rows share.
     """
-    model = learn(docs, per_language)
-    found = least_scores(docs, model, per_language) if model.languages else {}
+    model = learn(docs)
+    found = least_scores(docs, model) if model.languages else {}
     least = np.array([*(found.get(g, 0.0) for g in model.languages), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -729,6 +729,72 @@ def test_keep_identified_rejects_what_no_language_claims(spark):
     assert language.keep_identified(unlabelled).count() == 122
 
 
+def late_ids(spark, n, late):
+    """Ids to learn from, and the ``late`` of them whose hash is greatest, which a sample by hash would take last."""
+    ids = [k for k in range(n) if zlib.crc32(str(k).encode()) % 4 != 2]
+    by_hash = spark.createDataFrame([(k,) for k in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    return ids, {r["doc_id"] for r in by_hash[-late:]}
+
+
+def test_language_learns_from_every_document(spark):
+    """A few documents in a thousand, last by hash, show words that all others of their language lack."""
+    rng = random.Random(6)
+    ids, late = late_ids(spark, 1400, 30)
+    usual = {"aa": STEMS["aa"], "bb": STEMS["bb"]}
+    rare = {"aa": "undz derz nichz auchz", "bb": "thep andp withp whichp"}
+    say = lambda words: " ".join(rng.choice(words.split()) for _ in range(60))
+    rows = [(d, say((rare if d in late else usual)[g]), g) for d in ids for g in ("aa", "bb")]
+    asked = [(10**6 + k, say(rare[g]), g) for k, g in enumerate(["aa", "bb"] * 20)]
+    frame = spark.createDataFrame(rows + [(d, t, None) for d, t, _ in asked], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame).collect() if r["doc_id"] >= 10**6}
+    assert [got[d] for d, _, _ in asked] == [g for _, _, g in asked]
+
+
+def test_least_scores_come_from_every_document(spark):
+    """No text that is learned from and predicted rightly is rejected, whatever its hash: the last ones mix languages."""
+    rng = random.Random(7)
+    ids, late = late_ids(spark, 1400, 30)
+    rows = []
+    for d in ids:
+        for g in ("aa", "bb"):
+            own, other = STEMS[g].split(), STEMS["bb" if g == "aa" else "aa"].split()
+            rows.append((d, " ".join(rng.choice(own[:3] + other[-2:] if d in late else own) for _ in range(90)), g))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(frame)
+    right = {(d, t) for d, t, g in rows for p in [model.languages[_best(model, t)]] if p == g}
+    kept = {(r["doc_id"], r["text"]) for r in language.keep_identified(frame).collect()}
+    assert sum(d in late for d, _ in right) > 20 and not right - kept
+
+
+def _best(model, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return int(model.scores(language.presence(raw, [(0, len(raw))])).argmax())
+
+
+def test_sums_of_tasks(spark):
+    """Middles are the counts of features of the nearest windows, and moments those of all windows, however tasks cut the table."""
+    rows = [(d, t, g) for d, t, g in language_rows(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    langs, base = language.landmark_windows(language.sampled(frame, 9), 9)
+    x, own = [], []
+    for _, t, g in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        spans, _ = language.windows_of(np.array([0, len(raw)]))
+        x.append(language.presence(raw, spans))
+        own += [g] * len(spans)
+    x, own = np.concatenate(x), np.array(own)
+    near = np.where(own[:, None] == np.array(langs)[None, :], language.unit(x) @ base.T, -1).argmax(axis=1)
+    want = np.array([x[near == k].sum(axis=0) for k in range(len(langs))])
+    got = language.middles(language.labelled(frame), langs, base)
+    assert len(langs) == 9 and np.abs(got - want / np.linalg.norm(want, axis=1, keepdims=True)).max() < 1e-6
+    root = language.spanning(got)
+    z, n = (language.unit(x) @ got.T) @ root, root.shape[1]
+    for lang, sums in language.window_moments(language.labelled(frame), sorted(set(langs)), got, root).items():
+        mine = z[own == lang]
+        assert np.allclose(sums[: n * n].reshape(n, n), mine.T @ mine, atol=1e-3) and np.allclose(sums[n * n : -1], mine.sum(axis=0), atol=1e-3) and sums[-1] == len(mine)
+
+
 def test_keep_identified_decides_by_row(spark):
     odd = [(None, "123", "aa"), (None, "und nicht der", "bb"), (900, "...", "aa"), (900, "the and there", "aa")]
     frame = spark.createDataFrame(language_rows(60) + odd, "doc_id long, text string, lang string")
