@@ -11,6 +11,7 @@ from logwarden.config import DetectConfig
 from logwarden.functions import network
 from logwarden.jobs import detect
 from logwarden.operators import entities, prefixes
+from logwarden.streaming import detector
 
 PATHS = "entity_type string, entity_value string, w long, path string, n long"
 
@@ -82,3 +83,9 @@ def test_requests_to_new_prefixes_from_common_beginnings(spark):
     want = sorted((e, sum(n for _, x, _, p, n in rows if x == e and p.startswith("/new"))) for e in ("1", "2"))
     stems = entities.path_stems(paths).withColumnRenamed("stem", "path")
     assert key(prefixes.new_requests(paths, state)) == key(prefixes.new_requests(stems, state)) == want
+
+
+def test_streams_keep_dense_state_and_two_versions(spark):
+    detector.use_state_store(spark)
+    conf = "spark.sql.streaming."
+    assert [spark.conf.get(conf + c) for c in ("stateStore.compression.codec", "stateStore.rocksdb.compression", "minBatchesToRetain")] == ["zstd", "zstd", "2"]
